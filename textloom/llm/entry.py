@@ -7,10 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, mixing, pii, quality_rules, secrets
+from textloom.llm import chat, mixing, pii, quality_classifier, quality_rules, secrets, token_counts, topk
 from textloom.llm.common import read
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_classifier.score(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
@@ -38,7 +58,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_secret_scans, op7_quality_rules, op8_mixing, op9_pii, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_topk_search, op3_token_counts, op5_quality_classifier, op6_secret_scans, op7_quality_rules, op8_mixing, op9_pii, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
