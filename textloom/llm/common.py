@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.shipping import ship
+
 #: Characters that separate words, everywhere in this subpackage: space and U+0009..U+000D.
 BLANKS = " \t\n\x0b\f\r"
 #: The same as a Java/Python regular expression class.
@@ -61,4 +63,5 @@ def words(text: Column) -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

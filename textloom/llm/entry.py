@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, mixing, pii, quality_classifier, quality_rules, secrets, token_counts, topk
+from textloom.llm import chat, mixing, pii, quality_classifier, quality_rules, secrets, sentencepiece_lattice, token_counts, topk
 from textloom.llm.common import read
 
 
@@ -22,6 +22,11 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepiece_lattice.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "n_pieces", "ids", "round_trip")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -58,7 +63,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op3_token_counts, op5_quality_classifier, op6_secret_scans, op7_quality_rules, op8_mixing, op9_pii, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_topk_search, op2_sentencepiece, op3_token_counts, op5_quality_classifier, op6_secret_scans, op7_quality_rules, op8_mixing, op9_pii, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
