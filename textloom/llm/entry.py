@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat, mixing, pii, quality_classifier, quality_rules, secrets, sentencepiece_lattice, token_counts, topk
+from textloom.llm import chat, mixing, ngram_join, pii, quality_classifier, quality_rules, secrets, sentencepiece_lattice, token_counts, topk
 from textloom.llm.common import read
 
 
@@ -31,6 +31,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_classifier.score(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
@@ -63,7 +67,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_sentencepiece, op3_token_counts, op5_quality_classifier, op6_secret_scans, op7_quality_rules, op8_mixing, op9_pii, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_topk_search, op2_sentencepiece, op3_token_counts, op4_ngram_join, op5_quality_classifier, op6_secret_scans, op7_quality_rules, op8_mixing, op9_pii, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
