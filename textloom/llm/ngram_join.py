@@ -12,7 +12,7 @@ first, so copies cost one row each. Between classes, two ways find every pair of
 The boundary is chosen by cost: rows of subsets against rows of lists and their share of verifications, over the sizes in a sample.
 
 Lists never emit all their pairs. A short list (``SHORT`` rows) pairs its rows. In a longer one every member meets one pivot
-only. The exact distances to the pivot then settle most of the rest, since the Jaccard distance obeys the triangle inequality:
+(in later rounds, a fixed number of them) only. The exact distances to the pivot then settle most of the rest, since the Jaccard distance obeys the triangle inequality:
 members linked with the pivot are in one component already, and an unlinked member x can link with a linked m only if d(x, pivot) - d(m, pivot) <= 1/4.
 What that leaves goes to a next round with another pivot, until nothing is left. So no link between
 components is lost, while a list of n near copies costs n - 1 verifications.
@@ -46,8 +46,10 @@ WIDTH = 5
 NUM, DEN = 3, 4
 #: Documents in the sample that orders the shingles and sets the boundary, and least sample count of a frequent shingle.
 SAMPLE_DOCS, FREQUENT = 4096, 4
-#: Lists of so many rows pair all of them.
-SHORT = 8
+#: Lists of so many rows pair all of them: at first, and among what a first pivot has left.
+SHORT, LATER_SHORT = 4, 24
+#: Pivots of a longer list: one at first, which settles groups of near copies, then several at once.
+LATER_PIVOTS = 16
 #: Bits of the filter that keeps uninvolved texts out of a shuffle.
 FILTER_BITS = 1 << 24
 MAX_BOUNDARY = 10
@@ -270,9 +272,9 @@ _FITS = f"{DEN} * least({{0}}, {{1}}) >= {NUM} * greatest({{0}}, {{1}})"
 _LINKED = f"{NUM + DEN} * i >= {NUM} * (na + nb)"
 
 
-def _short_pairs(rows: DataFrame, boundary: int) -> DataFrame:
-    """All pairs of lists of ``SHORT`` rows at most: each row with those before it, by size."""
-    near = rows.withColumn("_p", F.expr(f"collect_list(struct(sid, n, idx)) over (partition by tok order by n, sid rows between {SHORT - 1} preceding and 1 preceding)"))
+def _short_pairs(rows: DataFrame, boundary: int, short: int) -> DataFrame:
+    """All pairs of lists of ``short`` rows at most: each row with those before it, by size."""
+    near = rows.withColumn("_p", F.expr(f"collect_list(struct(sid, n, idx)) over (partition by tok order by n, sid rows between {short - 1} preceding and 1 preceding)"))
     p = near.select("sid", "n", F.explode("_p").alias("o")).where(F.expr(f"o.idx and o.sid <> sid and {_FITS.format('o.n', 'n')} and greatest(o.n, n) > {boundary}"))
     return p.select(F.expr("least(sid, o.sid)").alias("a"), F.expr("greatest(sid, o.sid)").alias("b"))
 
@@ -298,33 +300,44 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     cold = cut(listed("idx", "ext").withColumn("c", F.expr("count(1) over (partition by tok)")).where("c > 1"), "lists")
     hot = listed("hot_idx", "hot_ext")
-    short = _short_pairs(cold.where(F.col("c") <= SHORT), boundary)
+    short = _short_pairs(cold.where(F.col("c") <= SHORT), boundary, SHORT)
     rows = cold.where(F.col("c") > SHORT).drop("c").unionByName(hot)
     done = None  # pairs whose overlap is known
     while True:
+        first = done is None
         rows = cut(rows, "long-lists")
-        pivots = rows.groupBy("tok").agg(F.min(F.struct("sid", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        met = rows.join(pivots, "tok").where("sid <> p.sid").select("tok", "sid", "n", "idx", F.col("p.sid").alias("ps"), F.col("p.n").alias("pn"))
-        met = cut(met.withColumn("a", F.least("sid", "ps")).withColumn("b", F.greatest("sid", "ps")), "met")
-        pairs = met.where(F.expr(_FITS.format("n", "pn"))).select("a", "b").unionByName(short).distinct()
-        pairs = pairs if done is None else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        if first:
+            pivots = rows.groupBy("tok").agg(F.min(F.struct("sid", "n", "idx")).alias("p"))
+        else:  # the limit by rank is applied before the shuffle as well, so a long list is no large group here
+            ranked = rows.withColumn("r", F.expr("row_number() over (partition by tok order by sid)"))
+            pivots = ranked.where(F.col("r") <= LATER_PIVOTS).select("tok", F.struct("sid", "n", "idx").alias("p"))
+        met = rows.join(pivots, "tok").where("sid <> p.sid").select("tok", "sid", "n", "idx", "p")
+        met = cut(met.withColumn("a", F.least("sid", "p.sid")).withColumn("b", F.greatest("sid", "p.sid")), "met")
+        pairs = met.where(F.expr(_FITS.format("n", "p.n")))
+        if not first:  # a pair counts in this list only if the smaller set is indexed under its shingle
+            pairs = pairs.where("if(n < p.n, idx, if(n > p.n, p.idx, idx or p.idx))")
+        pairs = pairs.select("a", "b").unionByName(short).distinct()
+        pairs = pairs if first else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
         got = verify.overlaps(pairs)
         drop_cut(pairs)
         found.append(got.where(_LINKED).select("a", "b"))
-        done = got if done is None else done.unionByName(got)
-        # distance to the pivot, or what the sizes alone say it is at least
-        far = met.join(done, ["a", "b"], "left").withColumn("linked", F.expr(f"coalesce({_LINKED}, false)")).withColumn("d", F.expr("if(i is null, 1 - least(n, pn) / greatest(n, pn), 1 - i / (na + nb - i))"))
-        far = cut(far.select("tok", "sid", "n", "idx", "linked", "d"), "far")
-        open_ = far.groupBy("tok").agg(F.min(F.expr("if(linked, null, d)")).alias("near")).where("near is not null")
-        left = far.join(open_, "tok").where(f"not linked or d >= near - {1 - NUM / DEN} - 1e-9").select("tok", "n", "idx", "sid")
-        left = cut(left.withColumn("c", F.expr("count(1) over (partition by tok)")).where("c > 1"), "left")
+        done = got if first else done.unionByName(got)
+        # distance to each pivot, or what the sizes alone say it is at least
+        far = met.join(done, ["a", "b"], "left").withColumn("linked", F.expr(f"coalesce({_LINKED}, false)")).withColumn("d", F.expr("if(i is null, 1 - least(n, p.n) / greatest(n, p.n), 1 - i / (na + nb - i))"))
+        far = cut(far.select("tok", "sid", "n", "idx", F.col("p.sid").alias("ps"), "linked", "d"), "far")
+        # a member linked with a pivot is settled if nothing that isn't can be near enough to link with it
+        near = far.groupBy("tok", "ps").agg(F.min(F.expr("if(linked, null, d)")).alias("near"))
+        rated = far.join(near, ["tok", "ps"]).withColumn("settled", F.expr(f"linked and (near is null or d < near - {1 - NUM / DEN} - 1e-9)"))
+        left = rated.groupBy("tok", "sid", "n", "idx").agg(F.expr("bool_or(settled)").alias("settled")).where("not settled")
+        left = left.join(pivots.select("tok", F.col("p.sid").alias("sid")), ["tok", "sid"], "left_anti").drop("settled")
+        left = cut(left.join(left.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "tok"), "left")
         for x in (rows, met, far):
             drop_cut(x)
-        short = _short_pairs(left.where(F.col("c") <= SHORT), boundary)
-        rows = left.where(F.col("c") > SHORT).drop("c")
         if left.limit(1).count() == 0:
             break
+        short = _short_pairs(left.where(F.col("c") <= LATER_SHORT), boundary, LATER_SHORT)
+        rows = left.where(F.col("c") > LATER_SHORT).select("tok", "n", "idx", "sid")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
