@@ -17,6 +17,8 @@ members linked with the pivot are in one component already, and an unlinked memb
 What that leaves goes to a next round with another pivot, until nothing is left. So no link between
 components is lost, while a list of n near copies costs n - 1 verifications.
 
+Before two texts are compared, their sets' bitmaps bound the overlap from above, which settles most pairs that merely share a passage.
+
 The order of shingles (rarest first) comes from a bounded sample; any order gives the same links. Lists of shingles that are
 frequent in the sample are never windowed: their pivots are partial minima, joined back where a skewed join can be split.
 
@@ -34,6 +36,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,11 +48,11 @@ WIDTH = 5
 #: The similarity as a fraction: 4 * common >= 3 * union.
 NUM, DEN = 3, 4
 #: Documents in the sample that orders the shingles and sets the boundary, and least sample count of a frequent shingle.
-SAMPLE_DOCS, FREQUENT = 4096, 4
+SAMPLE_DOCS, FREQUENT = 8192, 3
 #: Lists of so many rows pair all of them: at first, and among what a first pivot has left.
-SHORT, LATER_SHORT = 4, 24
+SHORT, LATER_SHORT = 4, 48
 #: Pivots of a longer list: one at first, which settles groups of near copies, then several at once.
-LATER_PIVOTS = 16
+LATER_PIVOTS = 48
 #: Bits of the filter that keeps uninvolved texts out of a shuffle.
 FILTER_BITS = 1 << 24
 MAX_BOUNDARY = 10
@@ -57,28 +60,15 @@ MAX_BOUNDARY = 10
 VERIFY_COST = 40
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_MEMO = 500_000
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-class _Words(dict):
-    """word -> 64-bit hash."""
-
-    def __missing__(self, w: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        if len(self) >= _MEMO:
-            self.clear()
-        if len(w) <= 40:
-            self[w] = h
-        return h
-
-
-def shingles(text: str | None, memo: _Words) -> np.ndarray:
+def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
     w = (text or "").encode().translate(_LOWER).split()
     if not w:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, w), np.uint64, len(w))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
     with np.errstate(over="ignore"):
         k = min(WIDTH, len(w))
         s = np.full(len(w) - k + 1, 0 if k == WIDTH else k, np.uint64)
@@ -93,6 +83,25 @@ def least_overlap(a: int, b: int) -> int:
     return -(-NUM * (a + b) // (NUM + DEN))
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each shingle, by its low bits, in a power of two of bits: two to four for each."""
+    width = 1 << max(6, (2 * len(s) - 1).bit_length())
+    at = (s & np.uint64(width - 1)).astype(np.int64)
+    bits = np.zeros(width, bool)
+    bits[at] = True
+    return np.packbits(bits).tobytes()
+
+
+def overlap_bound(a: bytes, na: int, b: bytes, nb: int) -> int:
+    """No fewer than the common shingles of two sets: a differing bit is a shingle that only one of them has."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) != len(y):  # the wider one folds to the other's width
+        x, y = (x, y) if len(x) < len(y) else (y, x)
+        y = np.bitwise_or.reduce(y.reshape(-1, len(x)), axis=0)
+    differ = int(np.bitwise_count(x ^ y).sum())
+    return min(na, nb, (na + nb - differ) // 2)
+
+
 def partner_sizes(n: int) -> range:
     return range(-(-NUM * n // DEN), DEN * n // NUM + 1)
 
@@ -140,9 +149,8 @@ def _sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     rows = docs.select("text").where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(step)) == 0).limit(2 * SAMPLE_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Words()
         for b in batches:
-            sets = [shingles(t.as_py(), memo) for t in b.column(0)]
+            sets = [shingles(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["fp", "s"])
 
     sets = rows.mapInArrow(run, "fp binary, s array<long>").dropDuplicates(["fp"])
@@ -162,16 +170,16 @@ def signatures(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, bounda
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((frequent, counts))  # of the bounded sample
     arrays = ["idx", "ext", "hot_idx", "hot_ext", "subsets"]
-    schema = "doc_id long, th long, n int, f1 long, f2 long, sid long, " + ", ".join(f"{a} array<long>" for a in arrays)
+    schema = "doc_id long, th long, n int, f1 long, f2 long, sid long, bits binary, " + ", ".join(f"{a} array<long>" for a in arrays)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = shared.value
-        memo, seen, serial = _Words(), set(), TaskContext.get().partitionId() << 33
+        seen, serial = set(), TaskContext.get().partitionId() << 33
         least = -(-NUM * (boundary + 1) // DEN)
         for b in batches:
-            n, fps, sids, cols = [], [], [], {a: [] for a in arrays}
+            n, fps, sids, bits, cols = [], [], [], [], {a: [] for a in arrays}
             for t in b.column("text"):
-                s = shingles(t.as_py(), memo)
+                s = shingles(t.as_py())
                 fp = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 n.append(len(s))
                 fps.append(np.frombuffer(fp, np.int64))
@@ -182,6 +190,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, bounda
                     seen.add(fp)
                     serial += 1
                 sids.append(serial if first else None)
+                bits.append(bitmap(s) if first else None)
                 lists: dict[str, object] = dict.fromkeys(arrays)
                 if first and len(s) >= least:
                     o, hot = _ordered(s, frequent, counts)
@@ -195,8 +204,8 @@ def signatures(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, bounda
                     cols[a].append(lists[a])
             f = np.array(fps, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("th"), pa.array(n, pa.int32()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(sids, pa.int64()), *(pa.array(cols[a], pa.list_(pa.int64())) for a in arrays)],
-                names=["doc_id", "th", "n", "f1", "f2", "sid", *arrays],
+                [b.column("doc_id"), b.column("th"), pa.array(n, pa.int32()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(sids, pa.int64()), pa.array(bits, pa.binary()), *(pa.array(cols[a], pa.list_(pa.int64())) for a in arrays)],
+                names=["doc_id", "th", "n", "f1", "f2", "sid", "bits", *arrays],
             )
 
     return docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text").mapInArrow(run, schema)
@@ -238,20 +247,34 @@ class _Verifier:
         return cut(asked.join(found, ["doc_id", "th"]).select("sid", "z").dropDuplicates(["sid"]), "texts")
 
     def overlaps(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, na, nb, i`` of distinct pairs (a, b)."""
+        """``a, b, na, nb, i`` of distinct pairs (a, b): i is exact where they may be linked, else no fewer than the common shingles.
+
+        Bitmaps settle most pairs that merely share a passage; texts are fetched for the others only.
+        """
+        own = self.heads.select("sid", "n", "bits")
+        w = pairs.join(own.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a").join(own.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cols = [b.column(c).to_pylist() for c in ("ba", "na", "bb", "nb")]
+                i = [overlap_bound(*x) for x in zip(*cols, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "na", "nb")), pa.array(i, pa.int32())], names=["a", "b", "na", "nb", "i"])
+
+        bounds = cut(w.mapInArrow(bound, "a long, b long, na int, nb int, i int"), "bounds")
+        pairs = bounds.where(_LINKED).select("a", "b")
         texts = self.texts(_members(pairs))
-        j = pairs.join(texts.select(F.col("sid").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("sid").alias("b"), F.col("z").alias("zb")), "b")
+        j = pairs.join(texts.select(F.col("sid").alias("b"), F.col("z").alias("zb")), "b").join(texts.select(F.col("sid").alias("a"), F.col("z").alias("za")), "a")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import zstandard
 
-            z, memo, cache = zstandard.ZstdDecompressor(), _Words(), {}
+            z, cache = zstandard.ZstdDecompressor(), {}
 
             def load(sid: int, packed: pa.Scalar) -> np.ndarray:
                 if sid not in cache:
                     if len(cache) >= 256:
                         cache.clear()
-                    cache[sid] = shingles(z.decompress(packed.as_py()).decode(), memo)
+                    cache[sid] = shingles(z.decompress(packed.as_py()).decode())
                 return cache[sid]
 
             for b in batches:
@@ -263,13 +286,15 @@ class _Verifier:
                 v = np.array(out, np.int32).reshape(-1, 3)
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *(pa.array(v[:, k]) for k in range(3))], names=["a", "b", "na", "nb", "i"])
 
-        done = cut(j.mapInArrow(run, "a long, b long, na int, nb int, i int"), "overlaps")
+        exact = j.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long, na int, nb int, i int")
+        done = cut(exact.unionByName(bounds.where(f"not ({_LINKED})")), "overlaps")
+        drop_cut(bounds)
         drop_cut(texts)
         return done
 
 
-_FITS = f"{DEN} * least({{0}}, {{1}}) >= {NUM} * greatest({{0}}, {{1}})"
 _LINKED = f"{NUM + DEN} * i >= {NUM} * (na + nb)"
+_FITS = f"{DEN} * least({{0}}, {{1}}) >= {NUM} * greatest({{0}}, {{1}})"
 
 
 def _short_pairs(rows: DataFrame, boundary: int, short: int) -> DataFrame:
@@ -286,7 +311,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = sig.where("sid is not null and doc_id is not null")
     # one set of each fingerprint speaks for its copies
     first = known.groupBy("f1", "f2").agg(F.min("sid").alias("sid"))
-    heads = known.select("sid", "doc_id", "th", "n").join(first.select("sid"), "sid", "left_semi")
+    heads = cut(known.select("sid", "doc_id", "th", "n", "bits").join(first.select("sid"), "sid", "left_semi"), "heads")
     speak = known.select("sid", "n", "idx", "ext", "hot_idx", "hot_ext", "subsets").join(first.select("sid"), "sid", "left_semi")
     verify = _Verifier(docs, heads)
 
