@@ -12,9 +12,10 @@ repeated search gives if no piece is built by a merge of worse rank than its own
 :func:`prove_monotone` checks this for every piece of the vocabulary before anything is encoded.
 Runs of marks may share one rank, which a walk cannot order.
 
-Frequent units (at most ``HEAD`` of them, so of a proven size) reach the executors by broadcast; the others are
-joined by unit and come back grouped by text. Units longer than ``LONG`` characters, or with a run of
-marks, are merged by :func:`merge` where they occur.
+The units that occur most often (at most ``HEAD`` of them, so of a proven size) are encoded once, by the relational lattice, and
+reach the executors by broadcast; no text is shuffled. A unit rarer than that would cost more to send
+round than to encode: it goes through the same lattice and the same walk, in memory, where it occurs
+(:func:`walk`). Units longer than ``LONG`` characters, or with a run of marks, are merged by :func:`merge`.
 
 Defined results: a null text counts as empty: no pieces, decoded as ''; characters without a piece become byte pieces;
 repeated rows are encoded one by one; extra columns are passed through; an empty table gives an empty result; U+2581 in a text
@@ -25,10 +26,10 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import cut
+from textloom.llm.common import cut, drop_cut
 
 MARK = "▁"
 #: Most units in the broadcast dictionary.
 HEAD = 600_000
 #: Longest unit, in characters, that goes through the lattice (its boundaries are the bits of a long).
 LONG = 60
-#: Distinct units that a task holds before it hands them on.
-FLUSH = 300_000
+#: Distinct words that a task holds before it hands them on, and words that a worker remembers.
+FLUSH = MEMO = 300_000
 
 
 @dataclass(frozen=True)
@@ -137,21 +138,39 @@ def mark(text: str | None) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
+def words(text: str | None) -> list[str] | None:
+    """The marked text cut before each mark; None where marks come in runs, which units may hold."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or MARK in text:
+        return None
+    return text.split(" ")
+
+
 def count_units(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     """``unit, n``: the distinct units of all texts with their numbers of occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = re.compile(pattern).findall, Counter()
+        find, seen, odd = re.compile(pattern).findall, Counter(), Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["unit", "n"])
+            for w, n in seen.items():  # words fall into units once a task, not once an occurrence
+                for u in find(MARK + w):
+                    odd[u] += n
+            out = pa.RecordBatch.from_arrays([pa.array(odd.keys(), pa.string()), pa.array(odd.values(), pa.int64())], names=["unit", "n"])
             seen.clear()
+            odd.clear()
             return out
 
         for b in batches:
             for t in b.column(0):
-                seen.update(find(mark(t.as_py())))
-                if len(seen) >= FLUSH:
+                s = t.as_py()
+                w = words(s)
+                if w is None:
+                    odd.update(find(mark(s)))
+                else:
+                    seen.update(w)
+                if len(seen) + len(odd) >= FLUSH:
                     yield flush()
         yield flush()
 
@@ -159,86 +178,121 @@ def count_units(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
 
 
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """Add ``ids`` to rows (unit, n) by the relational lattice; units for :func:`direct` are left out."""
+    """``unit, mask`` by the relational lattice: bit k of the mask is set where a symbol begins (or the last one ends) at character k.
+
+    Units for :func:`direct` are left out.
+    """
     spark = units.sparkSession
-    table = pa.table({"piece": pa.array(pieces.strings), "id": pa.array(pieces.ids, pa.int64()), "rank": pa.array(pieces.ranks, pa.int64()), "score": pa.array(pieces.scores, pa.float64())})
+    table = pa.table({"piece": pa.array(pieces.strings), "rank": pa.array(pieces.ranks, pa.int64()), "score": pa.array(pieces.scores, pa.float64())})
     table = F.broadcast(spark.createDataFrame(table.to_pandas()))  # the vocabulary: of fixed size
     most = max(map(len, pieces.strings))
-    e = units.where((F.length("unit") <= LONG) & ~F.col("unit").startswith(MARK + MARK)).selectExpr("unit", "n", "explode(sequence(1, length(unit))) as s")
-    e = e.selectExpr("unit", "n", "s", f"explode(sequence(1, least({most}, length(unit) - s + 1))) as l").selectExpr("unit", "n", "s", "l", "substring(unit, s, l) as piece")
-    e = e.join(table, "piece", "left").where("id is not null or l = 1")  # a character without a piece stays, so that its unit does
+    e = units.where((F.length("unit") <= LONG) & ~F.col("unit").startswith(MARK + MARK)).selectExpr("unit", "explode(sequence(1, length(unit))) as s")
+    e = e.selectExpr("unit", "s", f"explode(sequence(1, least({most}, length(unit) - s + 1))) as l")
     if pieces.kind == "bpe":
-        # one long an edge: rank, start (0-based), length, id; sorting longs sorts the edges
-        packed = e.selectExpr("unit", "n", "shiftleft(rank, 32) | shiftleft(cast(s - 1 as bigint), 26) | shiftleft(cast(l as bigint), 20) | id as edge")  # null for such a character
-        g = packed.groupBy("unit", "n").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-        at, ln = "cast(shiftright(x, 26) & 63 as int)", "cast(shiftright(x, 20) & 63 as int)"
+        e = e.where("l > 1 or s = 1")  # single characters are symbols already; the first keeps a unit without an edge
+        e = e.selectExpr("unit", "s", "l", "substring(unit, s, l) as piece").join(table, "piece", "left").where("rank is not null or l = 1")
+        # one long an edge: rank, start (0-based), length; sorting longs sorts the edges
+        packed = e.selectExpr("unit", "if(l = 1, null, shiftleft(rank, 12) | shiftleft(cast(s - 1 as bigint), 6) | l) as edge")
+        g = packed.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+        at, ln = "cast(shiftright(x, 6) & 63 as int)", "cast(x & 63 as int)"
         ends = f"(shiftleft(1L, {at}) | shiftleft(1L, {at} + {ln}))"
         inner = f"(shiftleft(1L, {at} + {ln}) - shiftleft(2L, {at}))"
         fold = f"aggregate(edges, shiftleft(1L, length(unit) + 1) - 1, (m, x) -> if(bit_count(m & {inner}) = 1 and m & {ends} = {ends}, m & ~{inner}, m))"
-        path = f"transform(array({fold}), m -> transform(sort_array(transform(filter(edges, x -> m & ({ends} | {inner}) = {ends}), x -> x & {(1 << 32) - 1}L)), x -> struct({at} as s, {ln} as l, cast(x & {(1 << 20) - 1}L as int) as id)))[0]"
-    else:
-        g = e.groupBy("unit", "n").agg(F.array_sort(F.collect_list(F.struct((F.col("s") + F.col("l") - 1).alias("e"), (F.col("s") - 1).alias("s"), "l", "id", "score"))).alias("edges")).withColumn("edges", F.expr("filter(edges, x -> x.id is not null)"))
-        # best[j]: (score, start, id) of the best way to the first j characters; unknown characters cost much
-        best = "named_struct('score', {}, 's', {}, 'id', {})"
-        gap = best.format("a[j - 1].score - 1000d", "cast(j - 1 as int)", "-1")
-        step = f"aggregate(filter(edges, x -> x.e = j), {gap}, (b, x) -> if(a[x.s].score + x.score > b.score, {best.format('a[x.s].score + x.score', 'x.s', 'cast(x.id as int)')}, b))"
-        g = g.withColumn("m", F.expr(f"aggregate(sequence(1, length(unit)), array({best.format('0d', '-1', '-1')}), (a, j) -> array_append(a, {step}))"))
-        walk = "aggregate(sequence(1, length(unit)), struct(length(unit) as j, cast(array() as array<struct<s:int,l:int,id:int>>) as out), (a, i) -> if(a.j = 0, a, struct(m[a.j].s as j, array_prepend(a.out, struct(m[a.j].s as s, a.j - m[a.j].s as l, m[a.j].id as id)) as out))).out"
-        path = f"filter({walk}, x -> x.id >= 0)"
-    g = g.withColumn("path", F.expr(path)).select("unit", "n", "path")
-    # characters without a piece become bytes
-    byte = "array(" + ", ".join(map(str, pieces.bytes_)) + ")"
-    chars = f"transform(sequence(1, octet_length(encode(substring(unit, i, 1), 'utf-8'))), k -> get({byte}, cast(conv(hex(substring(encode(substring(unit, i, 1), 'utf-8'), k, 1)), 16, 10) as int)))"
-    gaps = f"flatten(transform(sequence(1, length(unit)), i -> case when exists(path, p -> p.s + 1 = i) then transform(filter(path, p -> p.s + 1 = i), p -> p.id) when exists(path, p -> p.s + 1 < i and i <= p.s + p.l) then cast(array() as array<int>) else {chars} end))"
-    whole = "aggregate(path, 0, (a, p) -> a + p.l) = length(unit)"
-    g = g.withColumn("ids", F.expr(f"if({whole}, transform(path, p -> p.id), {gaps})")).select("unit", "n", "ids")
-    return g
-
-
-def vocabulary(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
-    """``unit, n, ids`` of every unit of the corpus up to ``LONG`` characters, as a written table."""
+        return g.select("unit", F.expr(fold).alias("mask"))
+    e = e.selectExpr("unit", "s", "l", "substring(unit, s, l) as piece").join(table, "piece", "left").where("score is not null or l = 1")
+    g = e.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct((F.col("s") + F.col("l") - 1).alias("e"), (F.col("s") - 1).alias("s"), "score"))).alias("edges"))
+    # best[j]: (score, start) of the best way to the first j characters; a character without a piece costs much
+    gap = "named_struct('score', a[j - 1].score - 1000d, 's', cast(j - 1 as int))"
+    step = f"aggregate(filter(edges, x -> x.e = j and x.score is not null), {gap}, (b, x) -> if(a[x.s].score + x.score > b.score, named_struct('score', a[x.s].score + x.score, 's', x.s), b))"
+    g = g.withColumn("best", F.expr(f"aggregate(sequence(1, length(unit)), array(named_struct('score', 0d, 's', -1)), (a, j) -> array_append(a, {step}))"))
+    back = "aggregate(sequence(1, length(unit)), struct(length(unit) as j, shiftleft(1L, length(unit)) as m), (a, i) -> if(a.j = 0, a, struct(best[a.j].s as j, a.m | shiftleft(1L, best[a.j].s) as m))).m"
+    return g.select("unit", F.expr(back).alias("mask"), F.size("best").alias("_n")).drop("_n")
+
+
+def walk(unit: str, rank: dict[str, int], most: int) -> int:
+    """The same lattice and walk for one unit, in memory: its mask."""
+    n = len(unit)
+    edges = sorted((r, s, ln) for s in range(n - 1) for ln in range(2, min(most, n - s) + 1) if (r := rank.get(unit[s : s + ln])) is not None)
+    m = (1 << (n + 1)) - 1
+    for _, s, ln in edges:
+        ends, inner = 1 << s | 1 << (s + ln), (1 << (s + ln)) - (2 << s)
+        if (m & inner).bit_count() == 1 and m & ends == ends:
+            m &= ~inner
+    return m
+
+
+def symbols(unit: str, mask: int) -> list[str]:
+    cuts = [k for k in range(len(unit) + 1) if mask >> k & 1]
+    return [unit[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+class Coder:
+    """Encodes texts with a dictionary of ready units; what is not in it goes through :func:`walk` or :func:`merge`."""
+
+    def __init__(self, pieces: Pieces, ready: dict[str, bytes], pattern: str) -> None:
+        self.pieces, self.ready = pieces, ready
+        self.find = re.compile(pattern).findall
+        self.rank = dict(zip(pieces.strings, pieces.ranks, strict=True))
+        self.number = dict(zip(pieces.strings, pieces.ids, strict=True))
+        self.most = max(map(len, pieces.strings))
+        coder = self
+
+        class Memo(dict):
+            def __missing__(self, word: str) -> bytes:
+                code = b"".join(map(coder.unit, coder.find(MARK + word)))
+                if len(word) <= LONG:
+                    if len(self) >= MEMO:
+                        self.clear()
+                    self[word] = code
+                return code
+
+        self.memo = Memo()
+
+    def ids(self, symbols: list[str]) -> bytes:
+        out: list[int] = []
+        for s in symbols:
+            i = self.number.get(s)
+            out += [i] if i is not None else [self.pieces.bytes_[x] for x in s.encode()]
+        return np.array(out, np.int32).tobytes()
+
+    def unit(self, u: str) -> bytes:
+        code = self.ready.get(u)
+        if code is None:
+            code = self.ids(merge(u, self.rank)[0] if direct(u) else symbols(u, walk(u, self.rank, self.most)))
+        return code
+
+    def text(self, text: str | None) -> bytes:
+        w = words(text)
+        return b"".join(map(self.unit, self.find(mark(text))) if w is None else map(self.memo.__getitem__, w))
+
+
+def frequent_units(units: DataFrame, limit: int) -> DataFrame:
+    """The units from a least count on, ``limit`` at most."""
+    steps = units.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n")).orderBy(F.desc("b")).collect()
+    least, total = 1 << 62, 0
+    for r in steps:  # a few hundred rows at most
+        if total + r.k > limit:
+            break
+        least, total = r.n, total + r.k
+    return units.where(F.col("n") >= least)
+
+
+def ready_units(docs: DataFrame, pieces: Pieces, text: str = "text", head: int = HEAD) -> pa.Table:
+    """``unit, mask`` of the most frequent units of the corpus, by the relational lattice."""
     spark = docs.sparkSession
     name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     old = spark.conf.get(name)
+    counted = cut(count_units(docs, unit_pattern(pieces), text), "units")
     # Edges arrive unit by unit; small hash maps save a sort of all edges. Beyond it Spark sorts and spills.
     spark.conf.set(name, "60000")
     try:
-        return cut(encode_units(count_units(docs, unit_pattern(pieces), text), pieces), "units")
+        return encode_units(frequent_units(counted, head).repartition("unit"), pieces).toArrow()
     finally:
         spark.conf.set(name, old)
+        drop_cut(counted)
 
 
-_HEADS: dict[int, dict[str, bytes]] = {}
-
-
-def _head_of(shared) -> dict[str, bytes]:
-    """The broadcast units as a dictionary, built once for each Python worker."""
-    key = id(shared.value)
-    if key not in _HEADS:
-        _HEADS.clear()
-        t = pa.ipc.open_stream(shared.value).read_all()
-        _HEADS[key] = dict(zip(t["unit"].to_pylist(), t["ids"].to_pylist(), strict=True))
-    return _HEADS[key]
-
-
-def _head(units: DataFrame, limit: int) -> tuple[int, pa.Buffer]:
-    """(least count, Arrow stream) of the most frequent units, ``limit`` at most."""
-    steps = units.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n")).orderBy(F.desc("b")).collect()
-    least, total = 1 << 62, 0
-    for r in steps:  # a few hundred rows at most
-        if total + r.k > limit:
-            break
-        least, total = r.n, total + r.k
-    got = units.where(F.col("n") >= least).select("unit", "ids").toArrow()
-    flat = got["ids"].combine_chunks()
-    flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
-    offsets = pa.array(flat.offsets.to_numpy() * 4, pa.int32())
-    packed = pa.BinaryArray.from_buffers(pa.binary(), len(flat), [None, offsets.buffers()[1], flat.values.cast(pa.int32()).buffers()[1]])
-    sink = pa.BufferOutputStream()
-    t = pa.table({"unit": got["unit"], "ids": packed})
-    with pa.ipc.new_stream(sink, t.schema) as w:
-        w.write_table(t)
-    return least, sink.getvalue()
+_CODERS: dict[str, Coder] = {}
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", head: int = HEAD, pieces: Pieces | None = None) -> DataFrame:
@@ -247,69 +301,42 @@ def encode(docs: DataFrame, path: str, text: str = "text", head: int = HEAD, pie
     pieces = pieces or Pieces.load(path)
     prove_monotone(pieces)
     pattern = unit_pattern(pieces)
-    rank = dict(zip(pieces.strings, pieces.ranks, strict=True))
-    number = dict(zip(pieces.strings, pieces.ids, strict=True))
-    units = vocabulary(docs, pieces, text)
-    _, stream = _head(units, head)
-    shared = spark.sparkContext.broadcast(stream.to_pybytes())
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known = re.compile(pattern).findall, _head_of(shared)
-        for b in batches:
-            lists = [[u for u in {*find(mark(t.as_py()))} if u not in known and not direct(u)] for t in b.column("_text")]
-            yield pa.RecordBatch.from_arrays([b.column("_k1"), b.column("_k2"), pa.array(lists, pa.list_(pa.string()))], names=["_k1", "_k2", "units"])
-
-    keys = [F.xxhash64(text).alias("_k1"), F.xxhash64(text, F.lit(1)).alias("_k2")]
-    tail = docs.select(*keys, F.col(text).alias("_text")).mapInArrow(rare, "_k1 long, _k2 long, units array<string>")
-    tail = tail.select("_k1", "_k2", F.explode("units").alias("unit")).distinct().join(units.select("unit", "ids"), "unit")
-    tail = tail.groupBy(F.col("_k1").alias("_t1"), F.col("_k2").alias("_t2")).agg(F.collect_list(F.struct("unit", "ids")).alias("_tail"))
-    # texts travel compressed to their rare units
-    import zstandard
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            i = b.schema.get_field_index("_z")
-            yield b.set_column(i, pa.field("_z", pa.binary()), pa.array([None if t is None else z.compress(t.as_py().encode()) if t.is_valid else None for t in b.column(i)], pa.binary()))
-
-    rest = [c for c in docs.columns if c != text]
-    plain = docs.select(*rest, *keys, F.col(text).alias("_z"))
-    packed = plain.mapInArrow(pack, T.StructType([*[f for f in plain.schema if f.name != "_z"], T.StructField("_z", T.BinaryType())]))
-    joined = packed.join(tail, (F.col("_k1") == F.col("_t1")) & (F.col("_k2") == F.col("_t2")), "left").select(*rest, "_z", "_tail")
-    fields, names = {f.name: f for f in docs.schema}, docs.columns
-    schema = T.StructType([fields[c] for c in docs.columns] + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())])
+    sink = pa.BufferOutputStream()
+    ready = ready_units(docs, pieces, text, head)
+    with pa.ipc.new_stream(sink, ready.schema) as w:
+        w.write_table(ready)
+    key = uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast((pieces, sink.getvalue().to_pybytes()))
+    names = docs.columns
+    schema = T.StructType([*docs.schema, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())])
+
+    def coder() -> Coder:
+        """Built once for each Python worker."""
+        if key not in _CODERS:
+            _CODERS.clear()
+            pieces, stream = shared.value
+            c = Coder(pieces, {}, pattern)
+            t = pa.ipc.open_stream(stream).read_all()
+            c.ready = {u: c.ids(symbols(u, m)) for u, m in zip(t["unit"].to_pylist(), t["mask"].to_pylist(), strict=True)}
+            _CODERS[key] = c
+        return _CODERS[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known, spell, z = re.compile(pattern).findall, _head_of(shared), pieces.spell(), zstandard.ZstdDecompressor()
+        c = coder()
+        spell = c.pieces.spell()
         table = [spell.get(i, b"") for i in range(max(spell) + 1)]
-
-        @lru_cache(20_000)
-        def merged(u: str) -> bytes:
-            out: list[int] = []
-            for s in merge(u, rank)[0]:
-                out += [number[s]] if s in number else [pieces.bytes_[x] for x in s.encode()]
-            return np.array(out, np.int32).tobytes()
-
         for b in batches:
-            texts, parts, trips = [], [], []
-            for c, own in zip(b.column("_z"), b.column("_tail"), strict=True):
-                t = z.decompress(c.as_py()).decode() if c.is_valid else None
-                local = {x["unit"]: np.array(x["ids"], np.int32).tobytes() for x in own.as_py()} if own.is_valid else {}
-                found = find(mark(t))
-                try:
-                    code = b"".join([known[u] if u in known else merged(u) if direct(u) else local[u] for u in found])
-                except KeyError as e:
-                    raise RuntimeError(f"unit {e} has no pieces") from e
-                ids = np.frombuffer(code, np.int32)
-                texts.append(t)
-                parts.append(ids)
-                trips.append(decode_ids(ids, table) == (t or ""))
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32), pa.int32()))
-            own_cols = [pa.array(texts, pa.string()) if c == text else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*own_cols, ids, pa.array([len(p) for p in parts], pa.int64()), pa.array(trips)], names=schema.names)
-
-    return joined.mapInArrow(run, schema)
+            codes, trips = [], []
+            for t in b.column(text):
+                s = t.as_py()
+                code = c.text(s)
+                codes.append(code)
+                trips.append(decode_ids(np.frombuffer(code, np.int32), table) == (s or ""))
+            sizes = np.array([len(x) // 4 for x in codes], np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(codes), np.int32)))
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), ids, pa.array(sizes), pa.array(trips, pa.bool_())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def decode_ids(ids: np.ndarray, table: list[bytes]) -> str:
