@@ -14,13 +14,16 @@ The boundary is chosen by cost: rows of subsets against rows of lists and their
 Lists never emit all their pairs. A short list (``SHORT`` rows) pairs its rows. In a longer one every member meets one pivot
 (in later rounds, a fixed number of them) only. The exact distances to the pivot then settle most of the rest, since the Jaccard distance obeys the triangle inequality:
 members linked with the pivot are in one component already, and an unlinked member x can link with a linked m only if d(x, pivot) - d(m, pivot) <= 1/4.
-What that leaves goes to a next round with another pivot, until nothing is left. So no link between
+What that leaves goes to a next round with other pivots, until nothing is left. From the second round on only pairs between different
+components count: a list within one component is done, and pivots come from a list's smallest components. So no link between
 components is lost, while a list of n near copies costs n - 1 verifications.
 
 Before two texts are compared, their sets' bitmaps bound the overlap from above, which settles most pairs that merely share a passage.
 
-The order of shingles (rarest first) comes from a bounded sample; any order gives the same links. Lists of shingles that are
-frequent in the sample are never windowed: their pivots are partial minima, joined back where a skewed join can be split.
+The order of shingles (rarest first) has three levels; any order gives the same links. Last come shingles that a bounded sample holds often, by
+their count there. Before them come crowded ones, those that two documents of a fixed share of the corpus have in common: so lists stay short whatever the
+size of the corpus, except those of near copies. They are known by a bit filter of fixed size; a wrong bit costs nothing but order. Lists of shingles that are
+frequent in the bounded sample are never windowed: their pivots are partial minima, joined back where a skewed join can be split.
 
 Defined results: a null or blank text has no shingles and is its own component; fewer than five words make
 one shingle; repeated rows are copies; a null doc_id takes no part and gets a null component; extra
@@ -50,9 +53,11 @@ NUM, DEN = 3, 4
 #: Documents in the sample that orders the shingles and sets the boundary, and least sample count of a frequent shingle.
 SAMPLE_DOCS, FREQUENT = 8192, 3
 #: Lists of so many rows pair all of them: at first, and among what a first pivot has left.
-SHORT, LATER_SHORT = 4, 48
+SHORT, LATER_SHORT = 4, 32
 #: Pivots of a longer list: one at first, which settles groups of near copies, then several at once.
-LATER_PIVOTS = 48
+LATER_PIVOTS = 16
+#: Every so many documents are searched for crowded shingles, those that two of them share; bits of the filter that holds these.
+CROWD_STEP, CROWD_BITS = 8, 1 << 27
 #: Bits of the filter that keeps uninvolved texts out of a shuffle.
 FILTER_BITS = 1 << 24
 MAX_BOUNDARY = 10
@@ -124,25 +129,57 @@ def choose_boundary(sizes: np.ndarray, hits: float) -> int:
 
 
 def subset_keys(s: np.ndarray) -> list[int]:
+    """Hashes of (two sizes, subset); the low bit is set where the sizes differ, as then only sets of different sizes link."""
     out, n = [], len(s)
     for m in partner_sizes(n):
         c = least_overlap(n, m)
         if c <= min(n, m):
             tag = b"%d,%d," % (min(n, m), max(n, m))
-            out += [int.from_bytes(hashlib.blake2b(tag + np.array(x, np.uint64).tobytes(), digest_size=8).digest(), "little", signed=True) for x in combinations(s.tolist(), c)]
+            keys = (int.from_bytes(hashlib.blake2b(tag + np.array(x, np.uint64).tobytes(), digest_size=8).digest(), "little", signed=True) for x in combinations(s.tolist(), c))
+            out += [k & ~1 | (n != m) for k in keys]
     return out
 
 
-def _ordered(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _ordered(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A set, rarest first, and which of it is frequent."""
-    if not len(frequent):
-        return s, np.zeros(len(s), bool)
-    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-    hot = frequent[at] == s
-    o = np.lexsort((s, np.where(hot, counts[at], 0)))
+    level = _bit(crowded, s, CROWD_BITS).astype(np.int64)
+    hot = np.zeros(len(s), bool)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        hot = frequent[at] == s
+        level[hot] = 1 + counts[at][hot]
+    o = np.lexsort((s, level))
     return s[o], hot[o]
 
 
+def _bit(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    at = h & np.uint64(bits - 1)
+    return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _filter(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit filter of a column of hashes, made where the rows are; ``bits / 64`` words at most reach the driver."""
+    at = F.col(column).bitwiseAND(F.lit(bits - 1))
+    words = hashes.groupBy(F.shiftright(at, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("bits"))
+    got = words.toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    if got.num_rows:
+        table[got["w"].to_numpy()] = got["bits"].to_numpy()
+    return table.view(np.uint64)
+
+
+def _crowded(docs: DataFrame) -> np.ndarray:
+    """The bit filter of shingles that two documents of each ``CROWD_STEP``-th have in common."""
+    rows = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(CROWD_STEP)) == 0).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py()) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(sets) if sets else np.empty(0, np.uint64)).view(np.int64))], names=["s"])
+
+    return _filter(rows.mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") > 1), "s", CROWD_BITS)
+
+
 def _sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Frequent shingles of the sample, sorted, with their counts; and the boundary."""
     step = max(1, docs.count() // SAMPLE_DOCS)
@@ -165,15 +202,15 @@ def _sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return keys[o], n[o], choose_boundary(sizes, hits)
 
 
-def signatures(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, boundary: int) -> DataFrame:
+def signatures(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, boundary: int, crowded: np.ndarray) -> DataFrame:
     """A row per document: size, set's fingerprint; for the first of a set in a task its list keys as well."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((frequent, counts))  # of the bounded sample
+    shared = spark.sparkContext.broadcast((frequent, counts, crowded))  # of bounded sizes
     arrays = ["idx", "ext", "hot_idx", "hot_ext", "subsets"]
     schema = "doc_id long, th long, n int, f1 long, f2 long, sid long, bits binary, " + ", ".join(f"{a} array<long>" for a in arrays)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, counts = shared.value
+        frequent, counts, crowded = shared.value
         seen, serial = set(), TaskContext.get().partitionId() << 33
         least = -(-NUM * (boundary + 1) // DEN)
         for b in batches:
@@ -193,7 +230,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, bounda
                 bits.append(bitmap(s) if first else None)
                 lists: dict[str, object] = dict.fromkeys(arrays)
                 if first and len(s) >= least:
-                    o, hot = _ordered(s, frequent, counts)
+                    o, hot = _ordered(s, frequent, counts, crowded)
                     long_, short = prefix_rows(len(s)), len(s) // (NUM + DEN) + 1
                     o, hot = o[:long_].view(np.int64), hot[:long_]
                     i = np.arange(long_) < short
@@ -211,35 +248,25 @@ def signatures(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, bounda
     return docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text").mapInArrow(run, schema)
 
 
-def _members(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-
-
 class _Verifier:
     """Exact overlaps of pairs of sets, from the texts themselves."""
 
-    def __init__(self, docs: DataFrame, heads: DataFrame) -> None:
-        self.docs, self.heads = docs, heads  # heads: sid, doc_id, th, n
+    def __init__(self, docs: DataFrame, heads: DataFrame, sids: DataFrame) -> None:
+        self.docs, self.heads = docs, heads  # heads: sid, doc_id, th, n, bits
+        self.z = self._texts(sids)
 
-    def texts(self, sids: DataFrame) -> DataFrame:
-        """``sid, z``: compressed texts of the sets asked for; a fixed-size bit filter keeps most others out of the shuffle."""
+    def _texts(self, sids: DataFrame) -> DataFrame:
+        """``sid, z``: compressed texts of all sets in lists, fetched once; a fixed-size bit filter keeps most others out of the shuffle."""
         spark = self.docs.sparkSession
         asked = cut(self.heads.join(sids, "sid", "left_semi").select("sid", "doc_id", "th"), "asked")
-        bit = F.pmod("th", F.lit(FILTER_BITS))
-        words = asked.groupBy(F.floor(bit / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(th, {FILTER_BITS}) % 64 as int))")).alias("bits"))
-        got = words.toArrow()  # FILTER_BITS / 64 rows at most
-        bits = np.zeros(FILTER_BITS // 64, np.int64)
-        bits[got["w"].to_numpy()] = got["bits"].to_numpy()
-        shared = spark.sparkContext.broadcast(bits.view(np.uint64))
+        shared = spark.sparkContext.broadcast(_filter(asked, "th", FILTER_BITS))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import zstandard
 
             z, table = zstandard.ZstdCompressor(level=3), shared.value
             for b in batches:
-                at = np.mod(b.column("th").to_numpy(), FILTER_BITS)
-                hit = (table[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
-                own = b.filter(pa.array(hit.astype(bool)))
+                own = b.filter(pa.array(_bit(table, b.column("th").to_numpy().view(np.uint64), FILTER_BITS)))
                 packed = [z.compress((t.as_py() or "").encode()) for t in own.column("text")]
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("th"), pa.array(packed, pa.binary())], names=["doc_id", "th", "z"])
 
@@ -262,7 +289,7 @@ class _Verifier:
 
         bounds = cut(w.mapInArrow(bound, "a long, b long, na int, nb int, i int"), "bounds")
         pairs = bounds.where(_LINKED).select("a", "b")
-        texts = self.texts(_members(pairs))
+        texts = self.z
         j = pairs.join(texts.select(F.col("sid").alias("b"), F.col("z").alias("zb")), "b").join(texts.select(F.col("sid").alias("a"), F.col("z").alias("za")), "a")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +316,6 @@ class _Verifier:
         exact = j.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long, na int, nb int, i int")
         done = cut(exact.unionByName(bounds.where(f"not ({_LINKED})")), "overlaps")
         drop_cut(bounds)
-        drop_cut(texts)
         return done
 
 
@@ -298,27 +324,26 @@ _FITS = f"{DEN} * least({{0}}, {{1}}) >= {NUM} * greatest({{0}}, {{1}})"
 
 
 def _short_pairs(rows: DataFrame, boundary: int, short: int) -> DataFrame:
-    """All pairs of lists of ``short`` rows at most: each row with those before it, by size."""
-    near = rows.withColumn("_p", F.expr(f"collect_list(struct(sid, n, idx)) over (partition by tok order by n, sid rows between {short - 1} preceding and 1 preceding)"))
-    p = near.select("sid", "n", F.explode("_p").alias("o")).where(F.expr(f"o.idx and o.sid <> sid and {_FITS.format('o.n', 'n')} and greatest(o.n, n) > {boundary}"))
+    """All pairs of lists of ``short`` rows at most, between different components: each row with those before it, by size."""
+    rows = rows if "comp" in rows.columns else rows.withColumn("comp", F.col("sid"))
+    near = rows.withColumn("_p", F.expr(f"collect_list(struct(sid, n, idx, comp)) over (partition by tok order by n, sid rows between {short - 1} preceding and 1 preceding)"))
+    p = near.select("sid", "n", "comp", F.explode("_p").alias("o")).where(F.expr(f"o.idx and o.comp <> comp and {_FITS.format('o.n', 'n')} and greatest(o.n, n) > {boundary}"))
     return p.select(F.expr("least(sid, o.sid)").alias("a"), F.expr("greatest(sid, o.sid)").alias("b"))
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signatures, links): all signatures, and links (a, b) between sets that connect what is to be connected."""
     frequent, counts, boundary = _sample(docs)
-    sig = cut(signatures(docs, frequent, counts, boundary), "signatures")
+    sig = cut(signatures(docs, frequent, counts, boundary, _crowded(docs)), "signatures")
     known = sig.where("sid is not null and doc_id is not null")
     # one set of each fingerprint speaks for its copies
     first = known.groupBy("f1", "f2").agg(F.min("sid").alias("sid"))
     heads = cut(known.select("sid", "doc_id", "th", "n", "bits").join(first.select("sid"), "sid", "left_semi"), "heads")
     speak = known.select("sid", "n", "idx", "ext", "hot_idx", "hot_ext", "subsets").join(first.select("sid"), "sid", "left_semi")
-    verify = _Verifier(docs, heads)
-
     # light with light
-    light = speak.where("subsets is not null").select("sid", F.explode("subsets").alias("k"))
-    star = light.groupBy("k").agg(F.min("sid").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    found = [light.join(star, "k").where("sid <> m").select(F.col("m").alias("a"), F.col("sid").alias("b")).distinct()]
+    light = speak.where("subsets is not null").select("sid", "n", F.explode("subsets").alias("k"))
+    star = light.groupBy("k").agg(F.min("sid").alias("m"), F.count(F.lit(1)).alias("c"), (F.min("n") < F.max("n")).alias("mixed")).where("c > 1 and (k & 1 = 0 or mixed)")
+    found = [cut(light.join(star, "k").where("sid <> m").select(F.col("m").alias("a"), F.col("sid").alias("b")).distinct(), "light-links")]
 
     def listed(idx: str, ext: str) -> DataFrame:
         return speak.select("sid", "n", F.explode(F.concat(F.transform(idx, lambda x: F.struct(x.alias("tok"), F.lit(True).alias("idx"))), F.transform(ext, lambda x: F.struct(x.alias("tok"), F.lit(False).alias("idx"))))).alias("t")).select("t.tok", "n", "t.idx", "sid")
@@ -327,6 +352,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot = listed("hot_idx", "hot_ext")
     short = _short_pairs(cold.where(F.col("c") <= SHORT), boundary, SHORT)
     rows = cold.where(F.col("c") > SHORT).drop("c").unionByName(hot)
+    listed_sids = cold.select("sid").unionByName(hot.select("sid")).distinct()
+    verify = _Verifier(docs, heads, listed_sids)
     done = None  # pairs whose overlap is known
     while True:
         first = done is None
@@ -334,13 +361,14 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if first:
             pivots = rows.groupBy("tok").agg(F.min(F.struct("sid", "n", "idx")).alias("p"))
         else:  # the limit by rank is applied before the shuffle as well, so a long list is no large group here
-            ranked = rows.withColumn("r", F.expr("row_number() over (partition by tok order by sid)"))
-            pivots = ranked.where(F.col("r") <= LATER_PIVOTS).select("tok", F.struct("sid", "n", "idx").alias("p"))
-        met = rows.join(pivots, "tok").where("sid <> p.sid").select("tok", "sid", "n", "idx", "p")
+            size = rows.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("size"))
+            ranked = rows.join(size, ["tok", "comp"]).withColumn("r", F.expr("row_number() over (partition by tok order by size, sid)"))
+            pivots = ranked.where(F.col("r") <= LATER_PIVOTS).select("tok", F.struct("sid", "n", "idx", "comp").alias("p"))
+        met = rows.join(pivots, "tok").where("sid <> p.sid").select("tok", "sid", "n", "idx", "p", *([] if first else ["comp"]))
         met = cut(met.withColumn("a", F.least("sid", "p.sid")).withColumn("b", F.greatest("sid", "p.sid")), "met")
         pairs = met.where(F.expr(_FITS.format("n", "p.n")))
         if not first:  # a pair counts in this list only if the smaller set is indexed under its shingle
-            pairs = pairs.where("if(n < p.n, idx, if(n > p.n, p.idx, idx or p.idx))")
+            pairs = pairs.where("comp <> p.comp and if(n < p.n, idx, if(n > p.n, p.idx, idx or p.idx))")
         pairs = pairs.select("a", "b").unionByName(short).distinct()
         pairs = pairs if first else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
@@ -349,24 +377,33 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found.append(got.where(_LINKED).select("a", "b"))
         done = got if first else done.unionByName(got)
         # distance to each pivot, or what the sizes alone say it is at least
-        far = met.join(done, ["a", "b"], "left").withColumn("linked", F.expr(f"coalesce({_LINKED}, false)")).withColumn("d", F.expr("if(i is null, 1 - least(n, p.n) / greatest(n, p.n), 1 - i / (na + nb - i))"))
+        same = "false" if first else "comp = p.comp"
+        far = met.join(done, ["a", "b"], "left").withColumn("linked", F.expr(f"coalesce({_LINKED}, false) or {same}")).withColumn("d", F.expr(f"if({same}, 1, if(i is null, 1 - least(n, p.n) / greatest(n, p.n), 1 - i / (na + nb - i)))"))
         far = cut(far.select("tok", "sid", "n", "idx", F.col("p.sid").alias("ps"), "linked", "d"), "far")
         # a member linked with a pivot is settled if nothing that isn't can be near enough to link with it
         near = far.groupBy("tok", "ps").agg(F.min(F.expr("if(linked, null, d)")).alias("near"))
         rated = far.join(near, ["tok", "ps"]).withColumn("settled", F.expr(f"linked and (near is null or d < near - {1 - NUM / DEN} - 1e-9)"))
         left = rated.groupBy("tok", "sid", "n", "idx").agg(F.expr("bool_or(settled)").alias("settled")).where("not settled")
         left = left.join(pivots.select("tok", F.col("p.sid").alias("sid")), ["tok", "sid"], "left_anti").drop("settled")
-        left = cut(left.join(left.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "tok"), "left")
+        # components so far: a list within one of them is done
+        root = components(_union(found))
+        left = left.join(root, left["sid"] == root["node"], "left").select("tok", "n", "idx", "sid", F.coalesce("root", "sid").alias("comp"))
+        left = left.join(left.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi"), "tok").drop("_lo", "_hi")
+        left = cut(left, "left")
         for x in (rows, met, far):
             drop_cut(x)
         if left.limit(1).count() == 0:
             break
         short = _short_pairs(left.where(F.col("c") <= LATER_SHORT), boundary, LATER_SHORT)
-        rows = left.where(F.col("c") > LATER_SHORT).select("tok", "n", "idx", "sid")
-    out = found[0]
-    for x in found[1:]:
+        rows = left.where(F.col("c") > LATER_SHORT).drop("c")
+    return sig, _union(found)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for x in frames[1:]:
         out = out.unionByName(x)
-    return sig, out
+    return out
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
