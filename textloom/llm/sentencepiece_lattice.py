@@ -27,6 +27,7 @@ from __future__ import annotations
 import heapq
 import re
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,8 +45,8 @@ MARK = "▁"
 HEAD = 600_000
 #: Longest unit, in characters, that goes through the lattice (its boundaries are the bits of a long).
 LONG = 60
-#: Distinct words that a task holds before it hands them on, and words that a worker remembers.
-FLUSH = MEMO = 300_000
+#: Distinct units that a task holds before it hands them on, and rare ones that a worker remembers.
+FLUSH, RARE = 300_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -138,39 +139,21 @@ def mark(text: str | None) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-def words(text: str | None) -> list[str] | None:
-    """The marked text cut before each mark; None where marks come in runs, which units may hold."""
-    if not text:
-        return []
-    if "  " in text or text[0] == " " or MARK in text:
-        return None
-    return text.split(" ")
-
-
 def count_units(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     """``unit, n``: the distinct units of all texts with their numbers of occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen, odd = re.compile(pattern).findall, Counter(), Counter()
+        find, seen = re.compile(pattern).findall, Counter()
 
         def flush() -> pa.RecordBatch:
-            for w, n in seen.items():  # words fall into units once a task, not once an occurrence
-                for u in find(MARK + w):
-                    odd[u] += n
-            out = pa.RecordBatch.from_arrays([pa.array(odd.keys(), pa.string()), pa.array(odd.values(), pa.int64())], names=["unit", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["unit", "n"])
             seen.clear()
-            odd.clear()
             return out
 
         for b in batches:
             for t in b.column(0):
-                s = t.as_py()
-                w = words(s)
-                if w is None:
-                    odd.update(find(mark(s)))
-                else:
-                    seen.update(w)
-                if len(seen) + len(odd) >= FLUSH:
+                seen.update(find(mark(t.as_py())))
+                if len(seen) >= FLUSH:
                     yield flush()
         yield flush()
 
@@ -237,33 +220,27 @@ class Coder:
         self.most = max(map(len, pieces.strings))
         coder = self
 
-        class Memo(dict):
-            def __missing__(self, word: str) -> bytes:
-                code = b"".join(map(coder.unit, coder.find(MARK + word)))
-                if len(word) <= LONG:
-                    if len(self) >= MEMO:
-                        self.clear()
-                    self[word] = code
+        class Rare(dict):
+            def __missing__(self, u: str) -> bytes:
+                code = coder.ids(merge(u, coder.rank)[0] if direct(u) else symbols(u, walk(u, coder.rank, coder.most)))
+                if len(self) >= len(ready) + RARE:
+                    self.clear()
+                    self.update(coder.ready)
+                if len(u) <= LONG:
+                    self[u] = code
                 return code
 
-        self.memo = Memo()
+        self.known = Rare(ready)
 
     def ids(self, symbols: list[str]) -> bytes:
         out: list[int] = []
         for s in symbols:
             i = self.number.get(s)
             out += [i] if i is not None else [self.pieces.bytes_[x] for x in s.encode()]
-        return np.array(out, np.int32).tobytes()
-
-    def unit(self, u: str) -> bytes:
-        code = self.ready.get(u)
-        if code is None:
-            code = self.ids(merge(u, self.rank)[0] if direct(u) else symbols(u, walk(u, self.rank, self.most)))
-        return code
+        return array("i", out).tobytes()
 
     def text(self, text: str | None) -> bytes:
-        w = words(text)
-        return b"".join(map(self.unit, self.find(mark(text))) if w is None else map(self.memo.__getitem__, w))
+        return b"".join(map(self.known.__getitem__, self.find(mark(text))))
 
 
 def frequent_units(units: DataFrame, limit: int) -> DataFrame:
@@ -315,10 +292,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", head: int = HEAD, pie
         if key not in _CODERS:
             _CODERS.clear()
             pieces, stream = shared.value
-            c = Coder(pieces, {}, pattern)
+            plain = Coder(pieces, {}, pattern)
             t = pa.ipc.open_stream(stream).read_all()
-            c.ready = {u: c.ids(symbols(u, m)) for u, m in zip(t["unit"].to_pylist(), t["mask"].to_pylist(), strict=True)}
-            _CODERS[key] = c
+            _CODERS[key] = Coder(pieces, {u: plain.ids(symbols(u, m)) for u, m in zip(t["unit"].to_pylist(), t["mask"].to_pylist(), strict=True)}, pattern)
         return _CODERS[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
