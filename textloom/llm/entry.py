@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import chat, mixing, ngram_join, pii, quality_classifier, quality_rules, secrets, sentencepiece_lattice, token_counts, topk
 from textloom.llm.common import read
+from textloom.llm.oracles import ORACLES
 
 
 def tokenizer_path(name: str) -> str:
@@ -71,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
