@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,24 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: object) -> Iterator[None]:
+    """Session settings (two underscores for a dot) that hold for the queries run inside, then go back."""
+    names = {k.replace("__", "."): str(v) for k, v in values.items()}
+    old = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Rows of an Arrow batch where a row is a whole text or more: bounds a worker's memory.
+SMALL_BATCHES = {"spark__sql__execution__arrow__maxRecordsPerBatch": 1000}
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null or blank texts give an empty array."""
     t = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, drop_cut
+from textloom.llm.common import SMALL_BATCHES, cut, drop_cut, settings
 from textloom.llm.components import components
 
 WIDTH = 5
@@ -57,7 +57,7 @@ SHORT, LATER_SHORT = 4, 32
 #: Pivots of a longer list: one at first, which settles groups of near copies, then several at once.
 LATER_PIVOTS = 16
 #: Every so many documents are searched for crowded shingles, those that two of them share; bits of the filter that holds these.
-CROWD_STEP, CROWD_BITS = 8, 1 << 27
+CROWD_STEP, CROWD_BITS = 8, 1 << 26
 #: Bits of the filter that keeps uninvolved texts out of a shuffle.
 FILTER_BITS = 1 << 24
 MAX_BOUNDARY = 10
@@ -332,7 +332,12 @@ def _short_pairs(rows: DataFrame, boundary: int, short: int) -> DataFrame:
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(signatures, links): all signatures, and links (a, b) between sets that connect what is to be connected."""
+    """(signatures, roots): all signatures, and (node, root) for sets that are not the smallest of their component."""
+    with settings(docs.sparkSession, **SMALL_BATCHES):
+        return _links(docs)
+
+
+def _links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     frequent, counts, boundary = _sample(docs)
     sig = cut(signatures(docs, frequent, counts, boundary, _crowded(docs)), "signatures")
     known = sig.where("sid is not null and doc_id is not null")
@@ -343,7 +348,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # light with light
     light = speak.where("subsets is not null").select("sid", "n", F.explode("subsets").alias("k"))
     star = light.groupBy("k").agg(F.min("sid").alias("m"), F.count(F.lit(1)).alias("c"), (F.min("n") < F.max("n")).alias("mixed")).where("c > 1 and (k & 1 = 0 or mixed)")
-    found = [cut(light.join(star, "k").where("sid <> m").select(F.col("m").alias("a"), F.col("sid").alias("b")).distinct(), "light-links")]
+    light_links = light.join(star, "k").where("sid <> m").select(F.col("m").alias("a"), F.col("sid").alias("b")).distinct()
 
     def listed(idx: str, ext: str) -> DataFrame:
         return speak.select("sid", "n", F.explode(F.concat(F.transform(idx, lambda x: F.struct(x.alias("tok"), F.lit(True).alias("idx"))), F.transform(ext, lambda x: F.struct(x.alias("tok"), F.lit(False).alias("idx"))))).alias("t")).select("t.tok", "n", "t.idx", "sid")
@@ -352,65 +357,55 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot = listed("hot_idx", "hot_ext")
     short = _short_pairs(cold.where(F.col("c") <= SHORT), boundary, SHORT)
     rows = cold.where(F.col("c") > SHORT).drop("c").unionByName(hot)
-    listed_sids = cold.select("sid").unionByName(hot.select("sid")).distinct()
-    verify = _Verifier(docs, heads, listed_sids)
-    done = None  # pairs whose overlap is known
-    while True:
-        first = done is None
-        rows = cut(rows, "long-lists")
-        if first:
-            pivots = rows.groupBy("tok").agg(F.min(F.struct("sid", "n", "idx")).alias("p"))
-        else:  # the limit by rank is applied before the shuffle as well, so a long list is no large group here
-            size = rows.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("size"))
-            ranked = rows.join(size, ["tok", "comp"]).withColumn("r", F.expr("row_number() over (partition by tok order by size, sid)"))
-            pivots = ranked.where(F.col("r") <= LATER_PIVOTS).select("tok", F.struct("sid", "n", "idx", "comp").alias("p"))
-        met = rows.join(pivots, "tok").where("sid <> p.sid").select("tok", "sid", "n", "idx", "p", *([] if first else ["comp"]))
-        met = cut(met.withColumn("a", F.least("sid", "p.sid")).withColumn("b", F.greatest("sid", "p.sid")), "met")
-        pairs = met.where(F.expr(_FITS.format("n", "p.n")))
-        if not first:  # a pair counts in this list only if the smaller set is indexed under its shingle
-            pairs = pairs.where("comp <> p.comp and if(n < p.n, idx, if(n > p.n, p.idx, idx or p.idx))")
-        pairs = pairs.select("a", "b").unionByName(short).distinct()
-        pairs = pairs if first else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        got = verify.overlaps(pairs)
-        drop_cut(pairs)
-        found.append(got.where(_LINKED).select("a", "b"))
-        done = got if first else done.unionByName(got)
-        # distance to each pivot, or what the sizes alone say it is at least
-        same = "false" if first else "comp = p.comp"
-        far = met.join(done, ["a", "b"], "left").withColumn("linked", F.expr(f"coalesce({_LINKED}, false) or {same}")).withColumn("d", F.expr(f"if({same}, 1, if(i is null, 1 - least(n, p.n) / greatest(n, p.n), 1 - i / (na + nb - i)))"))
-        far = cut(far.select("tok", "sid", "n", "idx", F.col("p.sid").alias("ps"), "linked", "d"), "far")
-        # a member linked with a pivot is settled if nothing that isn't can be near enough to link with it
-        near = far.groupBy("tok", "ps").agg(F.min(F.expr("if(linked, null, d)")).alias("near"))
-        rated = far.join(near, ["tok", "ps"]).withColumn("settled", F.expr(f"linked and (near is null or d < near - {1 - NUM / DEN} - 1e-9)"))
-        left = rated.groupBy("tok", "sid", "n", "idx").agg(F.expr("bool_or(settled)").alias("settled")).where("not settled")
-        left = left.join(pivots.select("tok", F.col("p.sid").alias("sid")), ["tok", "sid"], "left_anti").drop("settled")
-        # components so far: a list within one of them is done
-        root = components(_union(found))
-        left = left.join(root, left["sid"] == root["node"], "left").select("tok", "n", "idx", "sid", F.coalesce("root", "sid").alias("comp"))
-        left = left.join(left.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi"), "tok").drop("_lo", "_hi")
-        left = cut(left, "left")
-        for x in (rows, met, far):
-            drop_cut(x)
-        if left.limit(1).count() == 0:
-            break
-        short = _short_pairs(left.where(F.col("c") <= LATER_SHORT), boundary, LATER_SHORT)
-        rows = left.where(F.col("c") > LATER_SHORT).drop("c")
-    return sig, _union(found)
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for x in frames[1:]:
-        out = out.unionByName(x)
-    return out
+    verify = _Verifier(docs, heads, cold.select("sid").unionByName(hot.select("sid")).distinct())
+
+    # First round: every member of a long list meets the list's pivot.
+    rows = cut(rows, "long-lists")
+    pivots = rows.groupBy("tok").agg(F.min(F.struct("sid", "n")).alias("p"))
+    met = rows.join(pivots, "tok").where("sid <> p.sid").select("tok", "sid", "n", "idx", F.col("p.n").alias("pn"), F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b"))
+    met = cut(met, "met")
+    got = verify.overlaps(cut(met.where(F.expr(_FITS.format("n", "pn"))).select("a", "b").unionByName(short).distinct(), "pairs"))
+    # distance to the pivot, or what the sizes alone say it is at least
+    far = met.join(got, ["a", "b"], "left").withColumn("linked", F.expr(f"coalesce({_LINKED}, false)")).withColumn("d", F.expr("if(i is null, 1 - least(n, pn) / greatest(n, pn), 1 - i / (na + nb - i))"))
+    far = cut(far.select("tok", "sid", "n", "idx", "linked", "d"), "far")
+    # a member linked with the pivot is settled if nothing that isn't can be near enough to link with it
+    near = far.groupBy("tok").agg(F.min(F.expr("if(linked, null, d)")).alias("near")).where("near is not null")
+    left = far.join(near, "tok").where(f"not linked or d >= near - {1 - NUM / DEN} - 1e-9").select("tok", "n", "idx", "sid")
+    done, root = got, components(light_links.unionByName(got.where(_LINKED).select("a", "b")))
+    left = _open_lists(left, root)
+    for x in (rows, met, far):
+        drop_cut(x)
+
+    # Further rounds: members of different components, short lists whole, longer ones with several pivots.
+    while left.limit(1).count():
+        pairs = _short_pairs(left.where(F.col("c") <= LATER_SHORT), boundary, LATER_SHORT)
+        rows = left.where(F.col("c") > LATER_SHORT)
+        # the limit by rank is applied before the shuffle as well, so a long list is no large group here
+        size = rows.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("size"))
+        ranked = rows.join(size, ["tok", "comp"]).withColumn("r", F.expr("row_number() over (partition by tok order by size, sid)"))
+        pivots = cut(ranked.where(F.col("r") <= LATER_PIVOTS).select("tok", F.struct("sid", "n", "idx", "comp").alias("p")), "pivots")
+        # a pair counts in this list only if the smaller set is indexed under its shingle
+        meet = rows.join(pivots, "tok").where(F.expr(f"comp <> p.comp and {_FITS.format('n', 'p.n')} and if(n < p.n, idx, if(n > p.n, p.idx, idx or p.idx))"))
+        pairs = pairs.unionByName(meet.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b"))).distinct()
+        got = verify.overlaps(cut(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs"))
+        done, old = done.unionByName(got), left
+        root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(got.where(_LINKED).select("a", "b")))
+        left = _open_lists(rows.select("tok", "n", "idx", "sid").join(pivots.select("tok", F.col("p.sid").alias("sid")), ["tok", "sid"], "left_anti"), root)
+        drop_cut(old)
+    return sig, root
+
+
+def _open_lists(rows: DataFrame, root: DataFrame) -> DataFrame:
+    """Rows of lists that span more than one component, with their component and their list's length."""
+    r = rows.join(root, rows["sid"] == root["node"], "left").select("tok", "n", "idx", "sid", F.coalesce("root", "sid").alias("comp"))
+    spans = r.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
+    return cut(r.join(spans, "tok"), "left")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sig, linked = links(d)
-    root = components(linked)
+    sig, root = links(d)
     known = sig.where("n > 0 and doc_id is not null")
     sets = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("low"), F.min("sid").alias("sid"))
     sets = sets.join(root, sets["sid"] == root["node"], "left").select("f1", "f2", "low", F.coalesce("root", "sid").alias("root"))
