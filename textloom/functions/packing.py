@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Where sentences end, and what a URL is.
 SENTENCE = r"(?<=[.!?。！？])\s+"
 URLS = r"<https?://[^\s>]+>|https?://[^\s)>\]]+"
 

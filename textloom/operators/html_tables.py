@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _I, _IS = re.IGNORECASE, re.IGNORECASE | re.DOTALL
+#: The tags that make a table.
 TABLE = re.compile(r"<table\b[^>]*>", _I)
 TABLE_MARK = re.compile(r"<table\b[^>]*>|(</table\s*>)", _I)
 ROW = re.compile(r"<tr\b[^>]*>", _I)

@@ -10,6 +10,7 @@ from textloom.model import Block
 from textloom.operators import html_tables
 from textloom.options import BlockOption
 
+#: Where sentences end, and what a cell of a table's second line is.
 SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
 DELIMITER = re.compile(r":?-+(?::?-+)*:?")
 
