@@ -14,8 +14,8 @@ Runs of marks may share one rank, which a walk cannot order.
 
 The units that occur most often (at most ``HEAD`` of them, so of a proven size) are encoded once, by the relational lattice, and
 reach the executors by broadcast; no text is shuffled. A unit rarer than that would cost more to send
-round than to encode: it goes through the same lattice and the same walk, in memory, where it occurs
-(:func:`walk`). Units longer than ``LONG`` characters, or with a run of marks, are merged by :func:`merge`.
+round than to encode: it is merged in memory, where it occurs. So are units longer than ``LONG`` characters
+or with a run of marks.
 
 Defined results: a null text counts as empty: no pieces, decoded as ''; characters without a piece become byte pieces;
 repeated rows are encoded one by one; extra columns are passed through; an empty table gives an empty result; U+2581 in a text
@@ -98,6 +98,22 @@ def merge(unit: str, rank: dict[str, int]) -> tuple[list[str], list[int]]:
     return [s for s in sym if s], order
 
 
+def merge_short(unit: str, rank: dict[str, int]) -> list[str]:
+    """:func:`merge`'s symbols for a short unit, by plain lists."""
+    none, get = 1 << 60, rank.get
+    sym = list(unit)
+    pairs = [get(a + b, none) for a, b in zip(sym, sym[1:], strict=False)]
+    while pairs and (r := min(pairs)) < none:
+        i = pairs.index(r)
+        sym[i : i + 2] = [sym[i] + sym[i + 1]]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(sym[i] + sym[i + 1], none)
+        if i:
+            pairs[i - 1] = get(sym[i - 1] + sym[i], none)
+    return sym
+
+
 def prove_monotone(pieces: Pieces) -> None:
     """Raise unless every piece, alone, becomes one symbol by merges of rising rank."""
     rank = dict(zip(pieces.strings, pieces.ranks, strict=True))
@@ -193,7 +209,7 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def walk(unit: str, rank: dict[str, int], most: int) -> int:
-    """The same lattice and walk for one unit, in memory: its mask."""
+    """The same lattice and walk for one unit, in memory: its mask. For tests of the relational form."""
     n = len(unit)
     edges = sorted((r, s, ln) for s in range(n - 1) for ln in range(2, min(most, n - s) + 1) if (r := rank.get(unit[s : s + ln])) is not None)
     m = (1 << (n + 1)) - 1
@@ -210,19 +226,18 @@ def symbols(unit: str, mask: int) -> list[str]:
 
 
 class Coder:
-    """Encodes texts with a dictionary of ready units; what is not in it goes through :func:`walk` or :func:`merge`."""
+    """Encodes texts with a dictionary of ready units; what is not in it is merged here."""
 
     def __init__(self, pieces: Pieces, ready: dict[str, bytes], pattern: str) -> None:
         self.pieces, self.ready = pieces, ready
         self.find = re.compile(pattern).findall
         self.rank = dict(zip(pieces.strings, pieces.ranks, strict=True))
         self.number = dict(zip(pieces.strings, pieces.ids, strict=True))
-        self.most = max(map(len, pieces.strings))
         coder = self
 
         class Rare(dict):
             def __missing__(self, u: str) -> bytes:
-                code = coder.ids(merge(u, coder.rank)[0] if direct(u) else symbols(u, walk(u, coder.rank, coder.most)))
+                code = coder.ids(merge(u, coder.rank)[0] if len(u) > LONG else merge_short(u, coder.rank))
                 if len(self) >= len(ready) + RARE:
                     self.clear()
                     self.update(coder.ready)
@@ -280,6 +295,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", head: int = HEAD, pie
     pattern = unit_pattern(pieces)
     sink = pa.BufferOutputStream()
     ready = ready_units(docs, pieces, text, head)
+    coded = Coder(pieces, {}, pattern)
+    ready = pa.table({"unit": ready["unit"], "ids": pa.array((coded.ids(symbols(u, m)) for u, m in zip(ready["unit"].to_pylist(), ready["mask"].to_pylist(), strict=True)), pa.binary())})
     with pa.ipc.new_stream(sink, ready.schema) as w:
         w.write_table(ready)
     key = uuid.uuid4().hex
@@ -292,9 +309,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", head: int = HEAD, pie
         if key not in _CODERS:
             _CODERS.clear()
             pieces, stream = shared.value
-            plain = Coder(pieces, {}, pattern)
             t = pa.ipc.open_stream(stream).read_all()
-            _CODERS[key] = Coder(pieces, {u: plain.ids(symbols(u, m)) for u, m in zip(t["unit"].to_pylist(), t["mask"].to_pylist(), strict=True)}, pattern)
+            _CODERS[key] = Coder(pieces, dict(zip(t["unit"].to_pylist(), t["ids"].to_pylist(), strict=True)), pattern)
         return _CODERS[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
