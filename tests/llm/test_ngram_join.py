@@ -57,9 +57,9 @@ def corpus(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("seed", "sizes"), [(1, (2, 3, 2)), (2, (2, 3, 1)), (3, (4, 48, 48))])
+@pytest.mark.parametrize(("seed", "sizes"), [(1, (2, 3, 2, 2)), (2, (2, 3, 1, 1)), (3, (4, 48, 3, 16))])
 def test_components_equal_all_pairs(spark, monkeypatch, seed, sizes):
-    for name, n in zip(("SHORT", "LATER_SHORT", "LATER_PIVOTS"), sizes, strict=True):
+    for name, n in zip(("SHORT", "LATER_SHORT", "LARGE_PIVOTS", "SMALL_PIVOTS"), sizes, strict=True):
         monkeypatch.setattr(ngram_join, name, n)
     rows = corpus(seed)
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("own")).withColumn("sid", F.lit(3)).repartition(3)
@@ -90,7 +90,8 @@ def test_boundary_follows_cost():
     assert ngram_join.choose_boundary(small, 5.0) >= 6 > ngram_join.choose_boundary(small, 0.0)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_components(spark, one_task):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(500 + i, 501 + i) for i in range(60)]
     root = {}
@@ -98,5 +99,5 @@ def test_components(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
     assert all(got.get(x, x) == find(x) for x in list(root))

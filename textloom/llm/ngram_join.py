@@ -54,8 +54,10 @@ NUM, DEN = 3, 4
 SAMPLE_DOCS, FREQUENT = 8192, 3
 #: Lists of so many rows pair all of them: at first, and among what a first pivot has left.
 SHORT, LATER_SHORT = 4, 32
-#: Pivots of a longer list: one at first, which settles groups of near copies, then several at once.
-LATER_PIVOTS = 16
+#: Pivots of a longer list in later rounds: of its largest component, which takes in most of the others, and of its smallest ones.
+LARGE_PIVOTS, SMALL_PIVOTS = 3, 16
+#: Sets whose ids may be broadcast to pick their texts; beyond that the texts are joined.
+FEW_SETS = 200_000
 #: Every so many documents are searched for crowded shingles, those that two of them share; bits of the filter that holds these.
 CROWD_STEP, CROWD_BITS = 8, 1 << 26
 #: Bits of the filter that keeps uninvolved texts out of a shuffle.
@@ -273,12 +275,18 @@ class _Verifier:
         found = self.docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, th long, z binary")
         return cut(asked.join(found, ["doc_id", "th"]).select("sid", "z").dropDuplicates(["sid"]), "texts")
 
+    @staticmethod
+    def _of(table: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The rows of ``table`` whose sets are in ``pairs``; where these are few, without a shuffle of the table."""
+        ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "members")
+        return table.join(F.broadcast(ids) if ids.count() <= FEW_SETS else ids, "sid", "left_semi")
+
     def overlaps(self, pairs: DataFrame) -> DataFrame:
         """``a, b, na, nb, i`` of distinct pairs (a, b): i is exact where they may be linked, else no fewer than the common shingles.
 
         Bitmaps settle most pairs that merely share a passage; texts are fetched for the others only.
         """
-        own = self.heads.select("sid", "n", "bits")
+        own = self._of(self.heads.select("sid", "n", "bits"), pairs)
         w = pairs.join(own.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a").join(own.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
 
         def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +297,7 @@ class _Verifier:
 
         bounds = cut(w.mapInArrow(bound, "a long, b long, na int, nb int, i int"), "bounds")
         pairs = bounds.where(_LINKED).select("a", "b")
-        texts = self.z
+        texts = self._of(self.z, pairs)
         j = pairs.join(texts.select(F.col("sid").alias("b"), F.col("z").alias("zb")), "b").join(texts.select(F.col("sid").alias("a"), F.col("z").alias("za")), "a")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,13 +385,18 @@ def _links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         drop_cut(x)
 
     # Further rounds: members of different components, short lists whole, longer ones with several pivots.
+    turn = 0
     while left.limit(1).count():
+        turn += 1
         pairs = _short_pairs(left.where(F.col("c") <= LATER_SHORT), boundary, LATER_SHORT)
         rows = left.where(F.col("c") > LATER_SHORT)
-        # the limit by rank is applied before the shuffle as well, so a long list is no large group here
         size = rows.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("size"))
-        ranked = rows.join(size, ["tok", "comp"]).withColumn("r", F.expr("row_number() over (partition by tok order by size, sid)"))
-        pivots = cut(ranked.where(F.col("r") <= LATER_PIVOTS).select("tok", F.struct("sid", "n", "idx", "comp").alias("p")), "pivots")
+        large = size.groupBy("tok").agg(F.max_by("comp", F.struct("size", "comp")).alias("large"))
+        ranked = rows.join(size, ["tok", "comp"]).join(large, "tok").withColumn("big", F.col("comp") == F.col("large"))
+        # the limit by rank is applied before the shuffle as well, so a long list is no large group here
+        ranked = ranked.withColumn("r", F.expr(f"row_number() over (partition by tok, big order by size, xxhash64(sid, {turn}))"))
+        ranked = ranked.where((F.col("r") <= max(LARGE_PIVOTS, SMALL_PIVOTS)) & (F.col("r") <= F.when(F.col("big"), LARGE_PIVOTS).otherwise(SMALL_PIVOTS)))
+        pivots = cut(ranked.select("tok", F.struct("sid", "n", "idx", "comp").alias("p")), "pivots")
         # a pair counts in this list only if the smaller set is indexed under its shingle
         meet = rows.join(pivots, "tok").where(F.expr(f"comp <> p.comp and {_FITS.format('n', 'p.n')} and if(n < p.n, idx, if(n > p.n, p.idx, idx or p.idx))"))
         pairs = pairs.unionByName(meet.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b"))).distinct()
