@@ -76,6 +76,14 @@ def test_edges_of_the_input(spark):
     assert sorted(r.doc_id for r in ngram_join.keep_one(d.where("doc_id is not null and doc_id <> 7")).collect()) == [3, 8, 9]
 
 
+def test_null_id_before_its_copies(spark):
+    rows = [(None, "a b c d e f g h i j k l"), (7, "a b c d e f g h i j k l"), (4, "a b c d e f g h i j k l"), (5, "a b c d e f g h i j k l m"), (6, "q r s t u v")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert [r.component_id for r in ngram_join.join(d).where("doc_id is null").collect()] == [None]
+    got = {r.doc_id: r.component_id for r in ngram_join.join(d).where("doc_id is not null").collect()}
+    assert got == {7: 4, 4: 4, 5: 4, 6: 6}
+
+
 def test_bitmaps_never_say_too_little():
     r = np.random.default_rng(0)
     for _ in range(300):

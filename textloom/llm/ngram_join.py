@@ -217,12 +217,13 @@ def signatures(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, bounda
         least = -(-NUM * (boundary + 1) // DEN)
         for b in batches:
             n, fps, sids, bits, cols = [], [], [], [], {a: [] for a in arrays}
-            for t in b.column("text"):
+            for doc, t in zip(b.column("doc_id"), b.column("text"), strict=True):
                 s = shingles(t.as_py())
                 fp = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 n.append(len(s))
                 fps.append(np.frombuffer(fp, np.int64))
-                first = len(s) > 0 and fp not in seen
+                # a row without an id takes no part, so it cannot speak for its set
+                first = len(s) > 0 and doc.is_valid and fp not in seen
                 if first:
                     if len(seen) >= 1_000_000:
                         seen.clear()
