@@ -33,6 +33,14 @@ KINDS = {
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z])",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Layouts of cards, tried at every start: groups of four, an unbroken run, 4-6-5 and 4-6-4, groups of four with a short last one.
+LAYOUTS = (r"[0-9]{4}(?:[ -][0-9]{4}){3}", r"[0-9]{13,19}", r"[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}", r"[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}", r"[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,3}")
+
+
+def _any(cards: str | None = None) -> str:
+    """The pattern of all kinds, with these alternatives as the cards, or without cards."""
+    own = KINDS | {"card": f"{_NO}(?:{cards})(?![0-9A-Za-z])"}
+    return "|".join(f"(?:{p})" for k, p in own.items() if cards or k != "card")
 
 
 def _q(s: str) -> str:
@@ -104,16 +112,34 @@ def pseudonym(m: str, kind: str, key: str = KEY) -> str:
     return f"case {kind} when 'email' then {email} when 'ip' then {ip} when 'date' then {date} when 'card' then {card} when 'phone' then {phone} when 'ssn' then {ssn} end"
 
 
+def cards(text: str) -> str:
+    """SQL: the distinct valid cards written in a text, in the order in which they win at one start.
+
+    A run that fails its check hides nothing: each layout is tried wherever a number begins. Digits in other groups count as a
+    card if the longest run is valid, holds no card in a layout and does not end within another value.
+    """
+    found = ", ".join(f"regexp_extract_all({text}, {_q(_NO + '(?=(' + p + ')(?![0-9A-Za-z]))')}, 1)" for p in LAYOUTS)
+    digits = "regexp_replace(c, '[^0-9]', '')"
+    valid = f"c -> {luhn_sum(digits)} % 10 = 0 and {digits} <> repeat('0', length({digits}))"
+    longest = f"regexp_extract_all({text}, {_q(KINDS['card'] + '(?![.-][0-9]|@)')}, 0)"
+    return _let(f"filter(array_distinct(concat({found})), {valid})", "l", f"array_distinct(concat(l, filter({longest}, g -> {_let('g', 'c', valid[5:])} and not exists(l, x -> contains(g, left(x, 12))))))")
+
+
 def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with PII in ``text`` replaced, plus ``pii``: an array of (kind, start, end, pseudonym).
 
     Offsets are code points of the old text, ends exclusive.
     """
-    any_ = _q(ANY)
+    any_, bare = _q(ANY), _q(_any())
     col = f"`{text}`"
-    # Texts without a match are not cut up. Of the others, matches and gaps are walked from the left.
-    d = docs.withColumn("_m", F.expr(f"if({col} rlike {any_}, regexp_extract_all({col}, {any_}, 0), null)"))
-    d = d.withColumn("_g", F.expr(f"if(_m is null, null, split({col}, {any_}, -1))"))
+    # Texts without a match are not cut up. Of the others, matches and gaps are walked from the left. In place of the cards' pattern
+    # stand a text's own valid cards, so that a number which is no card takes nothing that follows it along.
+    d = docs.withColumn("_c", F.expr(f"if({col} rlike {_q('[0-9](?:[ -]?[0-9]){12}')}, {cards(col)}, cast(array() as array<string>))"))
+    before, after = (_q(x) for x in _any("\0").split("\0"))
+    own = f"concat({before}, array_join(_c, '|'), {after})"
+    by = lambda f: f"if(size(_c) = 0, {f.format(bare)}, {f.format(own)})"
+    d = d.withColumn("_m", F.expr(f"if({col} rlike {any_}, {by(f'regexp_extract_all({col}, {{}}, 0)')}, null)"))
+    d = d.withColumn("_g", F.expr(f"if(_m is null, null, {by(f'split({col}, {{}}, -1)')})"))
     hit = f"transform(_m, m -> {_let(kind_of('m'), 'k', 'struct(m as old, k as kind, if(k is null, m, ' + pseudonym('m', 'k', key) + ') as new)')})"
     d = d.withColumn("_h", F.expr(f"if(_m is null, null, {hit})"))
     d = d.withColumn("_new", F.expr(f"if(_h is null, {col}, concat(array_join(transform(_h, (h, i) -> concat(get(_g, i), h.new)), ''), get(_g, size(_h))))"))
