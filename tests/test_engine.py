@@ -104,6 +104,14 @@ def test_native_pieces_equal_the_fold(spark, limit):
         assert r.p is None or list(r.p) == pieces.text_pieces(r.text, limit, count)
 
 
+def test_native_pieces_cut_words_that_are_too_long(spark):
+    texts = ["x" * 10_000, "short " + "é漢😀" * 300 + " end", "a\n" + "y" * 500, " " * 300 + "z" * 200, " " * 300]
+    d = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", packing.pieces(F.col("t"), 64).alias("p"))
+    got = {r.i: r.p for r in d.collect()}
+    assert got == {i: pieces.text_pieces(t, 64, lambda s: len(s.encode()) // 3) for i, t in enumerate(texts)}
+    assert len(got[0]) == 52 and "".join(got[0]) == texts[0]
+
+
 def test_text_functions(spark):
     dirty = "﻿# Title\r\n\r\n**bold**  \r\n\0"
     d = spark.createDataFrame([(dirty,)], "t string")

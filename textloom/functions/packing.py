@@ -16,11 +16,15 @@ URLS = r"<https?://[^\s>]+>|https?://[^\s)>\]]+"
 LEVELS = {"paragraph": ("\n\n", "\n\n"), "line": ("\n", "\n"), "sentence": (SENTENCE, " "), "word": (" ", " ")}
 
 
+def _strip(p: Column) -> Column:
+    return F.regexp_replace(p, r"(?U)^[\s\x{1c}-\x{1f}]+|(?U)[\s\x{1c}-\x{1f}]+$", "")
+
+
 def parts(text: Column, level: str) -> Column:
     """The non-empty parts of a text at a level; all but words are stripped."""
     found = F.split(text, LEVELS[level][0], -1)
     if level != "word":
-        found = F.transform(found, lambda p: F.regexp_replace(p, r"(?U)^[\s\x{1c}-\x{1f}]+|(?U)[\s\x{1c}-\x{1f}]+$", ""))
+        found = F.transform(found, _strip)
     return F.filter(found, lambda p: p != "")
 
 
@@ -49,10 +53,15 @@ def protected(text: Column, limit: int) -> Column:
     return F.exists(F.regexp_extract_all(text, F.lit(URLS), 0), lambda u: F.floor(F.octet_length(u) / 3) > limit)
 
 
+def hard(text: Column, limit: int) -> Column:
+    """Longest prefixes within the limit, one character at least, stripped: characters packed without a gap."""
+    return F.filter(F.transform(pack(F.split(text, "", -1), limit, ""), _strip), lambda p: p != "")
+
+
 def pieces(text: Column, limit: int) -> Column:
-    """Pieces of a text by the first level whose parts all fit; null where only hard cuts are left."""
+    """Pieces of a text by the first level whose parts all fit; hard cuts where none does."""
     out = F.when((F.floor(F.octet_length(text) / 3) <= limit) | protected(text, limit), F.array(text))
     for level, (_, join) in LEVELS.items():
         p = parts(text, level)
         out = out.when(fits(p, limit), pack(p, limit, join))
-    return out
+    return out.otherwise(hard(text, limit))
