@@ -84,6 +84,16 @@ def test_null_id_before_its_copies(spark):
     assert got == {7: 4, 4: 4, 5: 4, 6: 6}
 
 
+def test_keep_one_of_repeated_conflicting_and_null_ids(spark):
+    t = {k: " ".join(k + str(i) for i in range(12)) for k in "abcd"}
+    rows = [(7, t["a"]), (7, t["a"]), (3, t["b"]), (7, t["b"]), (5, t["c"]), (5, t["d"]), (None, t["a"]), (None, "x y z"), (None, "x y z"), (None, "u v w"), (9, ""), (9, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("own")).repartition(3)
+    got = ngram_join.keep_one(d)
+    assert got.columns == d.columns
+    want = [(3, t["b"]), (5, t["c"]), (5, t["d"]), (7, t["a"]), (9, ""), (None, "u v w"), (None, "x y z")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_bitmaps_never_say_too_little():
     r = np.random.default_rng(0)
     for _ in range(300):

@@ -430,8 +430,29 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that speak for their component: those whose id is the component's, once each."""
-    plain = docs.withColumn("_th", F.coalesce(F.xxhash64(text), F.lit(0)))
-    kept = join(docs, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    one = plain.join(kept, plain[doc_id] == F.col("_id"), "left_semi").drop("_th")
-    return one
+    """One row of ``docs`` for each component: of the smallest (doc_id, hash of the text); of equal rows any one.
+
+    Blank texts stay, one for each id. A row with a null doc_id has no component: it stays unless its text is that of a row
+    with an id or of another row without one.
+    """
+    plain = docs.withColumn("_id", F.col(doc_id).cast("long")).withColumn("_th", F.coalesce(F.xxhash64(text), F.lit(0)))
+    sig, root = links(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    own = sig.where("doc_id is not null")
+    # components are told apart by their sets: ones whose smallest ids are equal stay apart
+    sets = own.where("n > 0").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "th")).alias("low"), F.min("sid").alias("sid"))
+    sets = sets.join(root, sets["sid"] == root["node"], "left").select("low", F.coalesce("root", "sid").alias("root"))
+    best = sets.groupBy("root").agg(F.min("low").alias("low")).select("low.doc_id", "low.th")
+    blank = own.where("n = 0").groupBy("doc_id").agg(F.min("th").alias("th"))
+    null = sig.where("doc_id is null").select("doc_id", "th").distinct().join(own.where("n > 0").select("th"), "th", "left_anti").select("doc_id", "th")
+    count = sig.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.count(F.lit(1)).alias("copies"))
+    chosen = best.unionByName(blank).unionByName(null)
+    kept = cut(chosen.join(count, F.expr("doc_id <=> _id and th = _th")).select("doc_id", "th", "copies"), "kept")
+
+    def rows(where: str) -> DataFrame:
+        k = kept.where(where).select(F.col("doc_id").alias("_kid"), F.col("th").alias("_kth"))
+        return plain.join(k, F.expr("_id <=> _kid and _th = _kth"), "left_semi")
+
+    one = rows("copies = 1")
+    if kept.where("copies > 1").limit(1).count():
+        one = one.unionByName(rows("copies > 1").dropDuplicates(["_id", "_th"]))
+    return one.drop("_id", "_th")
