@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import headings, packing, text, tokens
 from textloom.operators import docx, pieces
 from textloom.options import BlockOption, SplitOptions, from_json, from_mapping, from_short, options_by_kind
+from textloom.plans import queries
 from textloom.plans.engine import ChunkEngine
 from textloom.sources import documents
 from textloom.streaming import chunks as stream
@@ -165,3 +166,13 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     rows = lambda x: sorted((r.id, r.chunk_id, r.body) for r in x.collect())
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(engine.split(d))
+
+
+def test_sibling_query_takes_every_conversation(spark, tmp_path):
+    word = "word "  # 5 bytes; the budget of a chunk is 1200 tokens of 3 bytes, and its target 80 % of that
+    turns = [("a", [10, 10]), ("b", [400] * 6), ("c", [10, 5000, 10]), ("d", [3000])]  # fits whole; packs; one turn above every limit; nothing else
+    rows = [(c, i, "user", (word * n).strip()) for c, t in turns for i, n in enumerate(t)]
+    spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: (r.n_chunks, r.n_turns) for r in queries.chunk_conversations_sibling_all(spark, str(tmp_path)).collect()}
+    # 960 tokens hold one turn of 400 words, or 570 words below the headings: 9 pieces of the turn of 5000, 6 of the one of 3000
+    assert got == {"a": (1, 2), "b": (6, 6), "c": (1 + 9 + 1, 3), "d": (6, 1)}

@@ -197,6 +197,16 @@ def chunk_conversations_sibling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.groupBy("conv_id", "n_turns").agg(F.count(F.lit(1)).alias("n_chunks")).select("conv_id", "n_chunks", "n_turns")
 
 
+@query()
+def chunk_conversations_sibling_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of chunks of every conversation: those that fit whole, and turns of any size, cut where they must be."""
+    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"))
+    chunks = ChunkEngine(SplitOptions("sibling", exact=True, merge_below_ratio=0.0)).split(conversations_markdown(spark, sf_dir))
+    n = chunks.groupBy(F.col("conv_id").alias("_id")).agg(F.count(F.lit(1)).alias("n_chunks"))
+    j = turns.join(n, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    return j.select("conv_id", F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_chunks"), "n_turns")
+
+
 @query(f"WITH {_TURNS} SELECT conv_id, count(*) AS sections, CAST(sum(strlen(text) // 3) AS BIGINT) AS body_tokens, max(2)::BIGINT AS depth FROM t GROUP BY conv_id")
 def section_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections and their own tokens, from the parsed trees as relations."""
