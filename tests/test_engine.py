@@ -176,3 +176,12 @@ def test_sibling_query_takes_every_conversation(spark, tmp_path):
     got = {r.conv_id: (r.n_chunks, r.n_turns) for r in queries.chunk_conversations_sibling_all(spark, str(tmp_path)).collect()}
     # 960 tokens hold one turn of 400 words, or 570 words below the headings: 9 pieces of the turn of 5000, 6 of the one of 3000
     assert got == {"a": (1, 2), "b": (6, 6), "c": (1 + 9 + 1, 3), "d": (6, 1)}
+
+
+def test_json_of_documents_without_chunks_and_in_order_of_chunks(spark):
+    d = spark.createDataFrame([(1, "# A\n\ntext", "markdown"), (2, "", "markdown"), (3, "  \n", "markdown")], "id long, text string, format string")
+    got = {r.id: json.loads(r.json) for r in documents.document_json(ChunkEngine(), d, ["id"]).collect()}
+    assert {i: (g["chunk_count"], len(g["chunks"])) for i, g in got.items()} == {1: (1, 1), 2: (0, 0), 3: (0, 0)}
+    many = spark.createDataFrame([(1, "t", f"chunk-{i}") for i in (10_000, 9_999, 10_001)], "id long, document_title string, chunk_id string")
+    ids = [c["chunk_id"] for c in json.loads(documents.chunk_json(many, ["id"]).first().json)["chunks"]]
+    assert ids == ["chunk-9999", "chunk-10000", "chunk-10001"]

@@ -286,4 +286,4 @@ def chunk_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     j = document_json(ChunkEngine(SplitOptions("section", max_tokens=100_000)), conversations_markdown(spark, sf_dir), ["conv_id"])
     get = lambda p: F.get_json_object("json", p)
-    return j.select("conv_id", get("$.document").alias("document"), get("$.chunk_count").cast("long").alias("chunk_count"), get("$.chunks[0].own_heading.title").alias("first_heading")).where("first_heading like 'turn 0:%'")
+    return j.select("conv_id", get("$.document").alias("document"), get("$.chunk_count").cast("long").alias("chunk_count"), get("$.chunks[0].own_heading.title").alias("first_heading"))
