@@ -5,7 +5,8 @@ table: a space's mark begins a unit, and letters and other marks never share a p
 of the corpus get their lattice relationally: explode the substrings of bounded length, equi-join
 them to the piece table, group the edges by unit, and fold them with ``aggregate``.
 
-For a unigram model the fold is Viterbi over the edges by position. A BPE model isn't decided
+Texts are encoded by BPE models only: no path loads a unigram model as one, though :func:`encode_units` has a
+Viterbi fold over the edges by position for it. A BPE model isn't decided
 by a sum of scores, so Viterbi would not give the library's result; there the fold walks the same edges by rank: an
 edge merges where exactly two current symbols meet in it. One walk in rank order gives what BPE's
 repeated search gives if no piece is built by a merge of worse rank than its own;
