@@ -57,9 +57,9 @@ def corpus(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("seed", "sizes"), [(1, (2, 3, 2, 2)), (2, (2, 3, 1, 1)), (3, (4, 48, 3, 16))])
+@pytest.mark.parametrize(("seed", "sizes"), [(1, (2, 60, 2)), (2, (3, 1 << 20, 256)), (3, (40, 400, 30))])
 def test_components_equal_all_pairs(spark, monkeypatch, seed, sizes):
-    for name, n in zip(("SHORT", "LATER_SHORT", "LARGE_PIVOTS", "SMALL_PIVOTS"), sizes, strict=True):
+    for name, n in zip(("SHORT", "BLOCK", "LEAST_MEMBER"), sizes, strict=True):
         monkeypatch.setattr(ngram_join, name, n)
     rows = corpus(seed)
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("own")).withColumn("sid", F.lit(3)).repartition(3)
@@ -67,6 +67,44 @@ def test_components_equal_all_pairs(spark, monkeypatch, seed, sizes):
     assert got == brute(rows)
 
 
+def near_group(seed, copies, words, edits, passage=()):
+    """Copies of one text with so many edits each: many pairs lie just below the threshold, with and without a shared passage."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for _ in range(copies):
+        w = list(base)
+        for k in r.sample(range(words), r.randrange(edits + 1)):
+            w[k] = f"x{r.randrange(3)}"
+        out.append(" ".join(w))
+    out += [" ".join([*(f"own{i}_{k}" for k in range(10)), *passage]) for i in range(20)]
+    r.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("block", [300, 1 << 20])
+def test_large_group_just_below_the_threshold(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block * 20)
+    rows = near_group(4, 130, 60, 4, [f"p{i}" for i in range(30)])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert got == want and 30 < len({c for _, c in want.values()}) < 140
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_forest_equals_all_pairs(seed):
+    r = np.random.default_rng(seed)
+    base = r.integers(0, 2**63, 40).astype(np.uint64)
+    pool = r.integers(0, 2**63, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([r.choice(base, 40 - k, replace=False), r.choice(pool, k)])) for k in r.integers(0, 14, r.integers(1, 50))]
+    lab = ngram_join.forest(sets)
+    link = np.array([[4 * (i := len(np.intersect1d(a, b))) >= 3 * (len(a) + len(b) - i) for b in sets] for a in sets])
+    for _ in sets:
+        link = link @ link
+    assert ((lab[:, None] == lab[None, :]) == link).all()
+    assert (lab[lab] == lab).all()
+
+
 def test_edges_of_the_input(spark):
     d = spark.createDataFrame([(7, "a b c d e f g"), (7, "a b c d e f g"), (None, "a b c d e f g"), (3, "a b c d e f g"), (9, None), (8, "")], "doc_id long, text string")
     got = sorted((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(d).collect() if r.doc_id is not None)
@@ -94,6 +132,14 @@ def test_keep_one_of_repeated_conflicting_and_null_ids(spark):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_extra_columns_may_have_any_name(spark):
+    rows = [(2, "a b c d e f", "x", 1, 5), (1, "a b c d e f", "y", 2, 6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, id string, th int, _id int").selectExpr("*", "1 as row", "2 as h", "3 as copies", "4 as sid", "5 as n", "6 as f1", "7 as `a.b`")
+    assert ngram_join.keep_one(d).columns == d.columns
+    assert [(r.doc_id, r.id) for r in ngram_join.keep_one(d).collect()] == [(1, "y")]
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join.join(d).collect()) == [(1, 1), (2, 1)]
+
+
 def test_bitmaps_never_say_too_little():
     r = np.random.default_rng(0)
     for _ in range(300):

@@ -11,14 +11,15 @@ first, so copies cost one row each. Between classes, two ways find every pair of
 
 The boundary is chosen by cost: rows of subsets against rows of lists and their share of verifications, over the sizes in a sample.
 
-Lists never emit all their pairs. A short list (``SHORT`` rows) pairs its rows. In a longer one every member meets one pivot
-(in later rounds, a fixed number of them) only. The exact distances to the pivot then settle most of the rest, since the Jaccard distance obeys the triangle inequality:
-members linked with the pivot are in one component already, and an unlinked member x can link with a linked m only if d(x, pivot) - d(m, pivot) <= 1/4.
-What that leaves goes to a next round with other pivots, until nothing is left. From the second round on only pairs between different
-components count: a list within one component is done, and pivots come from a list's smallest components. So no link between
-components is lost, while a list of n near copies costs n - 1 verifications.
+Lists never emit all their pairs. A short list (``SHORT`` rows) pairs a row with those before it, and bitmaps drop pairs that merely share a
+passage. A longer one hands its members, once each, to its pivot: the member with the smallest share of private shingles, which near copies of one
+text agree on, so the hundred lists that they share become one ball around one pivot. Every pair that a long list holds lies in
+the ball of its pivot. A ball is read in one pass: the pivot is compared with all, then each member that isn't yet in the
+largest component, until all pairs lie within a component or are known to be apart; only a spanning forest is emitted. So rows grow with
+members, while comparisons inside a ball grow with its members times those that stay outside of its largest component.
 
-Before two texts are compared, their sets' bitmaps bound the overlap from above, which settles most pairs that merely share a passage.
+A ball of more than ``BLOCK`` shingles is dealt into blocks, and each pair of blocks is a ball of its own; memory is bounded by two blocks
+(and by the longest text), and a row is sent as often as its ball has blocks.
 
 The order of shingles (rarest first) has three levels; any order gives the same links. Last come shingles that a bounded sample holds often, by
 their count there. Before them come crowded ones, those that two documents of a fixed share of the corpus have in common: so lists stay short whatever the
@@ -27,7 +28,7 @@ frequent in the bounded sample are never windowed: their pivots are partial mini
 
 Defined results: a null or blank text has no shingles and is its own component; fewer than five words make
 one shingle; repeated rows are copies; a null doc_id takes no part and gets a null component; extra
-columns are ignored; an empty table gives an empty result. Texts are read whole.
+columns are ignored, whatever their names; an empty table gives an empty result. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -52,12 +53,12 @@ WIDTH = 5
 NUM, DEN = 3, 4
 #: Documents in the sample that orders the shingles and sets the boundary, and least sample count of a frequent shingle.
 SAMPLE_DOCS, FREQUENT = 8192, 3
-#: Lists of so many rows pair all of them: at first, and among what a first pivot has left.
-SHORT, LATER_SHORT = 4, 32
-#: Pivots of a longer list in later rounds: of its largest component, which takes in most of the others, and of its smallest ones.
-LARGE_PIVOTS, SMALL_PIVOTS = 3, 16
-#: Sets whose ids may be broadcast to pick their texts; beyond that the texts are joined.
-FEW_SETS = 200_000
+#: Lists of so many rows pair all of them.
+SHORT = 8
+#: Shingles of a block of a ball; a member counts as ``LEAST_MEMBER`` shingles at least.
+BLOCK, LEAST_MEMBER = 1 << 20, 256
+#: Members of a ball that are compared with all others before its largest component is chosen.
+FIRST = 8
 #: Every so many documents are searched for crowded shingles, those that two of them share; bits of the filter that holds these.
 CROWD_STEP, CROWD_BITS = 8, 1 << 26
 #: Bits of the filter that keeps uninvolved texts out of a shuffle.
@@ -142,8 +143,8 @@ def subset_keys(s: np.ndarray) -> list[int]:
     return out
 
 
-def _ordered(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A set, rarest first, and which of it is frequent."""
+def _ordered(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """A set, rarest first; which of it is frequent; how many are neither frequent nor crowded."""
     level = _bit(crowded, s, CROWD_BITS).astype(np.int64)
     hot = np.zeros(len(s), bool)
     if len(frequent):
@@ -151,7 +152,7 @@ def _ordered(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, crowded: n
         hot = frequent[at] == s
         level[hot] = 1 + counts[at][hot]
     o = np.lexsort((s, level))
-    return s[o], hot[o]
+    return s[o], hot[o], int((level == 0).sum())
 
 
 def _bit(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
@@ -208,15 +209,15 @@ def signatures(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, bounda
     """A row per document: size, set's fingerprint; for the first of a set in a task its list keys as well."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((frequent, counts, crowded))  # of bounded sizes
-    arrays = ["idx", "ext", "hot_idx", "hot_ext", "subsets"]
-    schema = "doc_id long, th long, n int, f1 long, f2 long, sid long, bits binary, " + ", ".join(f"{a} array<long>" for a in arrays)
+    arrays = ["cold", "hot", "subsets"]
+    schema = "doc_id long, th long, n int, f1 long, f2 long, sid long, own int, bits binary, " + ", ".join(f"{a} array<long>" for a in arrays)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts, crowded = shared.value
         seen, serial = set(), TaskContext.get().partitionId() << 33
         least = -(-NUM * (boundary + 1) // DEN)
         for b in batches:
-            n, fps, sids, bits, cols = [], [], [], [], {a: [] for a in arrays}
+            n, fps, sids, own, bits, cols = [], [], [], [], [], {a: [] for a in arrays}
             for doc, t in zip(b.column("doc_id"), b.column("text"), strict=True):
                 s = shingles(t.as_py())
                 fp = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -232,188 +233,195 @@ def signatures(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, bounda
                 sids.append(serial if first else None)
                 bits.append(bitmap(s) if first else None)
                 lists: dict[str, object] = dict.fromkeys(arrays)
+                private = 0
                 if first and len(s) >= least:
-                    o, hot = _ordered(s, frequent, counts, crowded)
-                    long_, short = prefix_rows(len(s)), len(s) // (NUM + DEN) + 1
-                    o, hot = o[:long_].view(np.int64), hot[:long_]
-                    i = np.arange(long_) < short
-                    lists |= {"idx": o[i & ~hot], "ext": o[~i & ~hot], "hot_idx": o[i & hot], "hot_ext": o[~i & hot]}
+                    o, hot, private = _ordered(s, frequent, counts, crowded)
+                    o, hot = o[: prefix_rows(len(s))].view(np.int64), hot[: prefix_rows(len(s))]
+                    lists |= {"cold": o[~hot], "hot": o[hot]}  # hot ones come last
+                own.append(255 * private // max(len(s), 1))
                 if first and len(s) <= boundary:
                     lists["subsets"] = subset_keys(s)
                 for a in arrays:
                     cols[a].append(lists[a])
             f = np.array(fps, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("th"), pa.array(n, pa.int32()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(sids, pa.int64()), pa.array(bits, pa.binary()), *(pa.array(cols[a], pa.list_(pa.int64())) for a in arrays)],
-                names=["doc_id", "th", "n", "f1", "f2", "sid", "bits", *arrays],
+                [b.column("doc_id"), b.column("th"), pa.array(n, pa.int32()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(sids, pa.int64()), pa.array(own, pa.int32()), pa.array(bits, pa.binary()), *(pa.array(cols[a], pa.list_(pa.int64())) for a in arrays)],
+                names=["doc_id", "th", "n", "f1", "f2", "sid", "own", "bits", *arrays],
             )
 
     return docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text").mapInArrow(run, schema)
 
 
-class _Verifier:
-    """Exact overlaps of pairs of sets, from the texts themselves."""
+_LINKED = f"{NUM + DEN} * i >= {NUM} * (na + nb)"
+_FITS = f"{DEN} * least({{0}}, {{1}}) >= {NUM} * greatest({{0}}, {{1}})"
+#: n and place of a list's row, packed in one long with the share of private shingles above them.
+_N, _AT = "cast(shiftright({0}, 24) & 2147483647 as int)", "cast({0} & 16777215 as int)"
 
-    def __init__(self, docs: DataFrame, heads: DataFrame, sids: DataFrame) -> None:
-        self.docs, self.heads = docs, heads  # heads: sid, doc_id, th, n, bits
-        self.z = self._texts(sids)
 
-    def _texts(self, sids: DataFrame) -> DataFrame:
-        """``sid, z``: compressed texts of all sets in lists, fetched once; a fixed-size bit filter keeps most others out of the shuffle."""
-        spark = self.docs.sparkSession
-        asked = cut(self.heads.join(sids, "sid", "left_semi").select("sid", "doc_id", "th"), "asked")
-        shared = spark.sparkContext.broadcast(_filter(asked, "th", FILTER_BITS))
+def _listed(speak: DataFrame, column: str, before: str) -> DataFrame:
+    """``tok, sid, m``: a row for each listed shingle; ``m`` packs (share of private shingles, n, place)."""
+    rows = speak.select("sid", F.expr(f"shiftleft(cast(own as bigint), 55) | shiftleft(cast(n as bigint), 24) as m"), F.expr(before).alias("k"), F.posexplode(column).alias("i", "tok"))
+    return rows.select("tok", "sid", F.expr("m | least(k + i, 16777215)").alias("m"))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import zstandard
 
-            z, table = zstandard.ZstdCompressor(level=3), shared.value
-            for b in batches:
-                own = b.filter(pa.array(_bit(table, b.column("th").to_numpy().view(np.uint64), FILTER_BITS)))
-                packed = [z.compress((t.as_py() or "").encode()) for t in own.column("text")]
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("th"), pa.array(packed, pa.binary())], names=["doc_id", "th", "z"])
+def _short_pairs(rows: DataFrame, boundary: int) -> DataFrame:
+    """All pairs of lists of ``SHORT`` rows at most that the list's places allow to be linked: each row with those before it."""
+    p = rows.withColumn("_p", F.expr(f"collect_list(struct(sid, m)) over (partition by tok order by sid rows between {SHORT - 1} preceding and 1 preceding)"))
+    p = p.select("sid", "m", F.explode("_p").alias("o")).selectExpr("o.sid as a", "sid as b", *(f"{x.format(c)} as {name}" for x, c, name in ((_N, "o.m", "na"), (_N, "m", "nb"), (_AT, "o.m", "ia"), (_AT, "m", "ib"))))
+    # at the first shingle that a linked pair shares, both sets have the least overlap still before them
+    need = f"({NUM} * (na + nb) + {NUM + DEN - 1}) div {NUM + DEN}"
+    return p.where(F.expr(f"{_FITS.format('na', 'nb')} and greatest(na, nb) > {boundary} and ia + {need} <= na and ib + {need} <= nb")).select("a", "b").distinct()
 
-        found = self.docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, th long, z binary")
-        return cut(asked.join(found, ["doc_id", "th"]).select("sid", "z").dropDuplicates(["sid"]), "texts")
 
-    @staticmethod
-    def _of(table: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The rows of ``table`` whose sets are in ``pairs``; where these are few, without a shuffle of the table."""
-        ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "members")
-        return table.join(F.broadcast(ids) if ids.count() <= FEW_SETS else ids, "sid", "left_semi")
+def _bounded(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """``a, b, na, nb`` of those pairs whose bitmaps allow a link."""
+    w = pairs.join(heads.selectExpr("sid as a", "n as na", "bits as ba"), "a").join(heads.selectExpr("sid as b", "n as nb", "bits as bb"), "b")
 
-    def overlaps(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, na, nb, i`` of distinct pairs (a, b): i is exact where they may be linked, else no fewer than the common shingles.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            i = np.array([overlap_bound(*x) for x in zip(b.column("ba").to_pylist(), na.tolist(), b.column("bb").to_pylist(), nb.tolist(), strict=True)], np.int64)
+            yield b.select(["a", "b", "na", "nb"]).filter(pa.array((NUM + DEN) * i >= NUM * (na.astype(np.int64) + nb)))
 
-        Bitmaps settle most pairs that merely share a passage; texts are fetched for the others only.
-        """
-        own = self._of(self.heads.select("sid", "n", "bits"), pairs)
-        w = pairs.join(own.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a").join(own.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+    return w.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long, na int, nb int")
 
-        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                cols = [b.column(c).to_pylist() for c in ("ba", "na", "bb", "nb")]
-                i = [overlap_bound(*x) for x in zip(*cols, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "na", "nb")), pa.array(i, pa.int32())], names=["a", "b", "na", "nb", "i"])
 
-        bounds = cut(w.mapInArrow(bound, "a long, b long, na int, nb int, i int"), "bounds")
-        pairs = bounds.where(_LINKED).select("a", "b")
-        texts = self._of(self.z, pairs)
-        j = pairs.join(texts.select(F.col("sid").alias("b"), F.col("z").alias("zb")), "b").join(texts.select(F.col("sid").alias("a"), F.col("z").alias("za")), "a")
+def _balls(rows: DataFrame) -> DataFrame:
+    """``p, sid, n``: the members of long lists by their pivot, which is a member itself."""
+    pivots = rows.groupBy("tok").agg(F.min(F.struct(F.shiftright("m", 55).alias("own"), "sid")).alias("v"))
+    return rows.join(pivots, "tok").selectExpr("v.sid as p", "sid", f"{_N.format('m')} as n").distinct()
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import zstandard
 
-            z, cache = zstandard.ZstdDecompressor(), {}
+def _units(balls: DataFrame) -> DataFrame:
+    """``p, i, j, sid``: balls, those of several blocks as pairs of blocks (i < j), each with the pivot."""
+    nb = cut(balls.groupBy("p").agg(F.expr(f"sum(greatest(n, {LEAST_MEMBER})) div {BLOCK} + 1").alias("nb"), F.count(F.lit(1)).alias("c")), "blocks")
+    u = balls.join(nb.where("c > 1").drop("c"), "p").withColumn("b", F.expr("pmod(xxhash64(sid), nb)"))
+    one = u.where("nb = 1").selectExpr("p", "0L as i", "0L as j", "sid")
+    if not nb.where("nb > 1").limit(1).count():
+        return one
+    many = u.where("nb > 1").withColumn("o", F.explode(F.expr("sequence(0L, nb - 1)"))).where("b <> o").selectExpr("p", "least(b, o) as i", "greatest(b, o) as j", "sid")
+    pivot = nb.where("nb > 1").select("p", F.explode(F.expr("sequence(0L, nb - 2)")).alias("i"), "nb").select("p", "i", F.explode(F.expr("sequence(i + 1, nb - 1)")).alias("j"), F.col("p").alias("sid"))
+    return one.unionByName(many.unionByName(pivot).distinct())
 
-            def load(sid: int, packed: pa.Scalar) -> np.ndarray:
-                if sid not in cache:
-                    if len(cache) >= 256:
-                        cache.clear()
-                    cache[sid] = shingles(z.decompress(packed.as_py()).decode())
-                return cache[sid]
 
-            for b in batches:
-                a_, b_ = b.column("a").to_pylist(), b.column("b").to_pylist()
-                out = []
-                for x, y, zx, zy in zip(a_, b_, b.column("za"), b.column("zb"), strict=True):
-                    s, t = load(x, zx), load(y, zy)
-                    out.append((len(s), len(t), len(np.intersect1d(s, t, assume_unique=True))))
-                v = np.array(out, np.int32).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *(pa.array(v[:, k]) for k in range(3))], names=["a", "b", "na", "nb", "i"])
+def _texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``sid, z``: compressed texts of the sets in ``asked`` (sid, doc_id, th); a fixed-size bit filter keeps most others out of the shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(asked, "th", FILTER_BITS))
 
-        exact = j.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long, na int, nb int, i int")
-        done = cut(exact.unionByName(bounds.where(f"not ({_LINKED})")), "overlaps")
-        drop_cut(bounds)
-        return done
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
+        z, table = zstandard.ZstdCompressor(level=3), shared.value
+        for b in batches:
+            own = b.filter(pa.array(_bit(table, b.column("th").to_numpy().view(np.uint64), FILTER_BITS)))
+            packed = [z.compress((t.as_py() or "").encode()) for t in own.column("text")]
+            yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("th"), pa.array(packed, pa.binary())], names=["doc_id", "th", "z"])
 
-_LINKED = f"{NUM + DEN} * i >= {NUM} * (na + nb)"
-_FITS = f"{DEN} * least({{0}}, {{1}}) >= {NUM} * greatest({{0}}, {{1}})"
+    found = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, th long, z binary")
+    return asked.join(found, ["doc_id", "th"]).select("sid", "z").dropDuplicates(["sid"])
 
 
-def _short_pairs(rows: DataFrame, boundary: int, short: int) -> DataFrame:
-    """All pairs of lists of ``short`` rows at most, between different components: each row with those before it, by size."""
-    rows = rows if "comp" in rows.columns else rows.withColumn("comp", F.col("sid"))
-    near = rows.withColumn("_p", F.expr(f"collect_list(struct(sid, n, idx, comp)) over (partition by tok order by n, sid rows between {short - 1} preceding and 1 preceding)"))
-    p = near.select("sid", "n", "comp", F.explode("_p").alias("o")).where(F.expr(f"o.idx and o.comp <> comp and {_FITS.format('o.n', 'n')} and greatest(o.n, n) > {boundary}"))
-    return p.select(F.expr("least(sid, o.sid)").alias("a"), F.expr("greatest(sid, o.sid)").alias("b"))
+def forest(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the place of one set of its component: every pair is compared, or lies within a component.
+
+    The first ``FIRST`` sets are compared with all; then those that are not in the largest component.
+    """
+    m = len(sets)
+    n = np.array([len(s) for s in sets], np.int64)
+    lab = np.arange(m)
+    if m == 2:
+        if (NUM + DEN) * len(np.intersect1d(sets[0], sets[1], assume_unique=True)) >= NUM * n.sum():
+            lab[1] = 0
+        return lab
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    shared = times[number] > 1  # only shingles that two sets have count
+    at = np.concatenate([[0], np.cumsum(shared)])[ends]
+    flat = (np.cumsum(times > 1) - 1)[number[shared]].astype(np.int32)
+    mask = np.zeros(int((times > 1).sum()) + 1, np.uint8)
+    largest = -1
+    for i in range(m):
+        if i == FIRST:
+            largest = int(np.flatnonzero(lab == np.bincount(lab).argmax())[0])
+        if largest >= 0 and lab[i] == lab[largest]:
+            continue
+        own = flat[at[i] : at[i + 1]]
+        mask[own] = 1
+        met = np.concatenate([[0], np.cumsum(mask[flat], dtype=np.int64)])[at]
+        mask[own] = 0
+        linked = (NUM + DEN) * np.diff(met) >= NUM * (n + n[i])
+        linked[i] = True
+        joined = np.unique(lab[linked])
+        if len(joined) > 1:
+            lab[np.isin(lab, joined)] = joined[0]
+    return lab
+
+
+def _links(units: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b``: a spanning forest of each unit's links."""
+    spark = units.sparkSession
+    rows = units.join(texts, "sid").select("p", "i", "j", "sid", "z")
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p", "i", "j").sortWithinPartitions("p", "i", "j", F.expr("sid <> p"), "sid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
+        now, sids, sets = None, [], []
+        out: tuple[list[int], list[int]] = ([], [])
+
+        def close() -> None:
+            if len(sids) > 1:
+                lab = forest(sets)
+                own = np.array(sids, np.int64)
+                moved = np.flatnonzero(lab != np.arange(len(own)))
+                out[0].extend(own[lab[moved]].tolist())
+                out[1].extend(own[moved].tolist())
+            sids.clear()
+            sets.clear()
+
+        for b in batches:
+            for key, sid, packed in zip(zip(*(b.column(k).to_pylist() for k in "pij"), strict=True), b.column("sid").to_pylist(), b.column("z"), strict=True):
+                if key != now:
+                    close()
+                    now = key
+                sids.append(sid)
+                sets.append(shingles(z.decompress(packed.as_py()).decode()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+            out = ([], [])
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signatures, roots): all signatures, and (node, root) for sets that are not the smallest of their component."""
     with settings(docs.sparkSession, **SMALL_BATCHES):
-        return _links(docs)
-
-
-def _links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    frequent, counts, boundary = _sample(docs)
-    sig = cut(signatures(docs, frequent, counts, boundary, _crowded(docs)), "signatures")
-    known = sig.where("sid is not null and doc_id is not null")
-    # one set of each fingerprint speaks for its copies
-    first = known.groupBy("f1", "f2").agg(F.min("sid").alias("sid"))
-    heads = cut(known.select("sid", "doc_id", "th", "n", "bits").join(first.select("sid"), "sid", "left_semi"), "heads")
-    speak = known.select("sid", "n", "idx", "ext", "hot_idx", "hot_ext", "subsets").join(first.select("sid"), "sid", "left_semi")
-    # light with light
-    light = speak.where("subsets is not null").select("sid", "n", F.explode("subsets").alias("k"))
-    star = light.groupBy("k").agg(F.min("sid").alias("m"), F.count(F.lit(1)).alias("c"), (F.min("n") < F.max("n")).alias("mixed")).where("c > 1 and (k & 1 = 0 or mixed)")
-    light_links = light.join(star, "k").where("sid <> m").select(F.col("m").alias("a"), F.col("sid").alias("b")).distinct()
-
-    def listed(idx: str, ext: str) -> DataFrame:
-        return speak.select("sid", "n", F.explode(F.concat(F.transform(idx, lambda x: F.struct(x.alias("tok"), F.lit(True).alias("idx"))), F.transform(ext, lambda x: F.struct(x.alias("tok"), F.lit(False).alias("idx"))))).alias("t")).select("t.tok", "n", "t.idx", "sid")
-
-    cold = cut(listed("idx", "ext").withColumn("c", F.expr("count(1) over (partition by tok)")).where("c > 1"), "lists")
-    hot = listed("hot_idx", "hot_ext")
-    short = _short_pairs(cold.where(F.col("c") <= SHORT), boundary, SHORT)
-    rows = cold.where(F.col("c") > SHORT).drop("c").unionByName(hot)
-    verify = _Verifier(docs, heads, cold.select("sid").unionByName(hot.select("sid")).distinct())
-
-    # First round: every member of a long list meets the list's pivot.
-    rows = cut(rows, "long-lists")
-    pivots = rows.groupBy("tok").agg(F.min(F.struct("sid", "n")).alias("p"))
-    met = rows.join(pivots, "tok").where("sid <> p.sid").select("tok", "sid", "n", "idx", F.col("p.n").alias("pn"), F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b"))
-    met = cut(met, "met")
-    got = verify.overlaps(cut(met.where(F.expr(_FITS.format("n", "pn"))).select("a", "b").unionByName(short).distinct(), "pairs"))
-    # distance to the pivot, or what the sizes alone say it is at least
-    far = met.join(got, ["a", "b"], "left").withColumn("linked", F.expr(f"coalesce({_LINKED}, false)")).withColumn("d", F.expr("if(i is null, 1 - least(n, pn) / greatest(n, pn), 1 - i / (na + nb - i))"))
-    far = cut(far.select("tok", "sid", "n", "idx", "linked", "d"), "far")
-    # a member linked with the pivot is settled if nothing that isn't can be near enough to link with it
-    near = far.groupBy("tok").agg(F.min(F.expr("if(linked, null, d)")).alias("near")).where("near is not null")
-    left = far.join(near, "tok").where(f"not linked or d >= near - {1 - NUM / DEN} - 1e-9").select("tok", "n", "idx", "sid")
-    done, root = got, components(light_links.unionByName(got.where(_LINKED).select("a", "b")))
-    left = _open_lists(left, root)
-    for x in (rows, met, far):
-        drop_cut(x)
-
-    # Further rounds: members of different components, short lists whole, longer ones with several pivots.
-    turn = 0
-    while left.limit(1).count():
-        turn += 1
-        pairs = _short_pairs(left.where(F.col("c") <= LATER_SHORT), boundary, LATER_SHORT)
-        rows = left.where(F.col("c") > LATER_SHORT)
-        size = rows.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("size"))
-        large = size.groupBy("tok").agg(F.max_by("comp", F.struct("size", "comp")).alias("large"))
-        ranked = rows.join(size, ["tok", "comp"]).join(large, "tok").withColumn("big", F.col("comp") == F.col("large"))
-        # the limit by rank is applied before the shuffle as well, so a long list is no large group here
-        ranked = ranked.withColumn("r", F.expr(f"row_number() over (partition by tok, big order by size, xxhash64(sid, {turn}))"))
-        ranked = ranked.where((F.col("r") <= max(LARGE_PIVOTS, SMALL_PIVOTS)) & (F.col("r") <= F.when(F.col("big"), LARGE_PIVOTS).otherwise(SMALL_PIVOTS)))
-        pivots = cut(ranked.select("tok", F.struct("sid", "n", "idx", "comp").alias("p")), "pivots")
-        # a pair counts in this list only if the smaller set is indexed under its shingle
-        meet = rows.join(pivots, "tok").where(F.expr(f"comp <> p.comp and {_FITS.format('n', 'p.n')} and if(n < p.n, idx, if(n > p.n, p.idx, idx or p.idx))"))
-        pairs = pairs.unionByName(meet.select(F.least("sid", "p.sid").alias("a"), F.greatest("sid", "p.sid").alias("b"))).distinct()
-        got = verify.overlaps(cut(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs"))
-        done, old = done.unionByName(got), left
-        root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(got.where(_LINKED).select("a", "b")))
-        left = _open_lists(rows.select("tok", "n", "idx", "sid").join(pivots.select("tok", F.col("p.sid").alias("sid")), ["tok", "sid"], "left_anti"), root)
-        drop_cut(old)
-    return sig, root
-
-
-def _open_lists(rows: DataFrame, root: DataFrame) -> DataFrame:
-    """Rows of lists that span more than one component, with their component and their list's length."""
-    r = rows.join(root, rows["sid"] == root["node"], "left").select("tok", "n", "idx", "sid", F.coalesce("root", "sid").alias("comp"))
-    spans = r.groupBy("tok").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
-    return cut(r.join(spans, "tok"), "left")
+        frequent, counts, boundary = _sample(docs)
+        sig = cut(signatures(docs, frequent, counts, boundary, _crowded(docs)), "signatures")
+        known = sig.where("sid is not null and doc_id is not null")
+        # one set of each fingerprint speaks for its copies
+        first = known.groupBy("f1", "f2").agg(F.min("sid").alias("sid")).select("sid")
+        heads = cut(known.select("sid", "doc_id", "th", "n", "bits").join(first, "sid", "left_semi"), "heads")
+        speak = known.select("sid", "n", "own", "cold", "hot", "subsets").join(heads.select("sid"), "sid", "left_semi")
+        # light with light
+        light = speak.where("subsets is not null").select("sid", "n", F.explode("subsets").alias("k"))
+        star = light.groupBy("k").agg(F.min("sid").alias("m"), F.count(F.lit(1)).alias("c"), (F.min("n") < F.max("n")).alias("mixed")).where("c > 1 and (k & 1 = 0 or mixed)")
+        light_links = light.join(star, "k").where("sid <> m").select(F.col("m").alias("a"), F.col("sid").alias("b")).distinct()
+        # heavy with all
+        cold = cut(_listed(speak, "cold", "0").withColumn("c", F.expr("count(1) over (partition by tok)")).where("c > 1"), "lists")
+        near = cut(_bounded(_short_pairs(cold.where(F.col("c") <= SHORT), boundary), heads), "near")
+        balls = _balls(cold.where(F.col("c") > SHORT).drop("c").unionByName(_listed(speak.where("size(hot) > 0"), "hot", "size(cold)")))
+        pairs = near.select(F.col("a").alias("p"), F.explode(F.expr("array(struct(a as sid, na as n), struct(b as sid, nb as n))")).alias("o")).select("p", "o.sid", "o.n")
+        balls = cut(balls.unionByName(pairs).distinct(), "balls")
+        units = cut(_units(balls), "units")
+        asked = cut(heads.select("sid", "doc_id", "th").join(units.select("sid").distinct(), "sid", "left_semi"), "asked")
+        found = cut(_links(units, _texts(docs, asked)), "links")
+        root = components(light_links.unionByName(found))
+        for x in (heads, cold, near, balls, units, asked, found):
+            drop_cut(x)
+        return sig, root
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -433,9 +441,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """One row of ``docs`` for each component: of the smallest (doc_id, hash of the text); of equal rows any one.
 
     Blank texts stay, one for each id. A row with a null doc_id has no component: it stays unless its text is that of a row
-    with an id or of another row without one.
+    with an id or of another row without one. All columns of ``docs``, whatever their names, come back as they were.
     """
-    plain = docs.withColumn("_id", F.col(doc_id).cast("long")).withColumn("_th", F.coalesce(F.xxhash64(text), F.lit(0)))
+    packed = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"))
     sig, root = links(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     own = sig.where("doc_id is not null")
     # components are told apart by their sets: ones whose smallest ids are equal stay apart
@@ -444,15 +452,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     best = sets.groupBy("root").agg(F.min("low").alias("low")).select("low.doc_id", "low.th")
     blank = own.where("n = 0").groupBy("doc_id").agg(F.min("th").alias("th"))
     null = sig.where("doc_id is null").select("doc_id", "th").distinct().join(own.where("n > 0").select("th"), "th", "left_anti").select("doc_id", "th")
-    count = sig.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.count(F.lit(1)).alias("copies"))
+    count = sig.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("h")).agg(F.count(F.lit(1)).alias("copies"))
     chosen = best.unionByName(blank).unionByName(null)
-    kept = cut(chosen.join(count, F.expr("doc_id <=> _id and th = _th")).select("doc_id", "th", "copies"), "kept")
+    kept = cut(chosen.join(count, F.expr("doc_id <=> id and th = h")).select("doc_id", "th", "copies"), "kept")
 
     def rows(where: str) -> DataFrame:
-        k = kept.where(where).select(F.col("doc_id").alias("_kid"), F.col("th").alias("_kth"))
-        return plain.join(k, F.expr("_id <=> _kid and _th = _kth"), "left_semi")
+        return packed.join(kept.where(where), F.expr("id <=> doc_id and h = th"), "left_semi")
 
     one = rows("copies = 1")
     if kept.where("copies > 1").limit(1).count():
-        one = one.unionByName(rows("copies > 1").dropDuplicates(["_id", "_th"]))
-    return one.drop("_id", "_th")
+        one = one.unionByName(rows("copies > 1").dropDuplicates(["id", "h"]))
+    return one.select("row.*")
