@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jsc.get() if jsc.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder there that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -76,6 +78,27 @@ def settings(spark: SparkSession, **values: object) -> Iterator[None]:
 SMALL_BATCHES = {"spark__sql__execution__arrow__maxRecordsPerBatch": 1000}
 
 
+def carried(docs: DataFrame, *added: str, without: tuple[str, ...] = ()) -> dict[str, str]:
+    """Old and new names of the columns that an operator passes through beside the columns ``added``.
+
+    A column of an added one's name (whatever its case) is kept as ``<name>_input``, so nothing is lost and names stay distinct.
+    """
+    taken, names = {x.lower() for x in (*added, *docs.columns)}, {}
+    for c in docs.columns:
+        if c not in without:
+            names[c] = c
+            if c.lower() in {x.lower() for x in added}:
+                while names[c].lower() in taken:
+                    names[c] += "_input"
+                taken.add(names[c].lower())
+    return names
+
+
+def unpacked(names: dict[str, str], row: str = "row") -> list[Column]:
+    """The columns of :func:`carried` from the packed input row."""
+    return [F.col(f"{row}.`{old}`").alias(new) for old, new in names.items()]
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null or blank texts give an empty array."""
     t = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

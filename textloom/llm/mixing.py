@@ -14,8 +14,8 @@ logarithm of the largest source to that base. The per-source table (one row per
 meets in one task. All randomness is hashed from the row and the seed, so reruns agree.
 
 Defined results: a null or blank text has size 0 and is never taken; a null source is a source of its own,
-after all others; repeated rows are rounded one by one; extra columns are passed through; an empty
-table gives an empty result.
+after all others; repeated rows are rounded one by one; one id (also a null one) may stand under several sources and texts, each
+is a document of its own; extra columns, whatever their names, are passed through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -93,12 +93,12 @@ def _level(units: DataFrame, buckets: Column, salt: int) -> DataFrame:
 def copies(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """Per row: ``_key``, ``doc_id``, ``size``, ``source``, ``source_size``, ``target``, ``n_copies``.
 
-    ``_key`` names a row: its doc_id, the hash of its text, and its number among equal rows.
+    ``_key`` names a row: its doc_id, its source, the hash of its text, and its number among equal rows.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("_h"))
     base = base.groupBy("doc_id", "source", "size", "_h").agg(F.count(F.lit(1)).alias("_n"))
     base = base.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    base = cut(base.withColumn("_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex("_h"), "_k")), "mix-sizes")
+    base = cut(base.withColumn("_key", F.to_json(F.array(F.col("doc_id").cast("string"), F.col("source").cast("string"), F.hex("_h"), F.col("_k").cast("string")))), "mix-sizes")
     per = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
     per = per.join(base.where("size > 0").groupBy(F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias("_docs")), F.expr("source <=> _s"), "left").drop("_s")
     per = cut(per.coalesce(1), "mix-targets")
@@ -130,12 +130,11 @@ def copies(docs: DataFrame, text: str = "text", source: str = "source", doc_id:
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 0) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it, with their own columns only."""
     plan = copies(docs, text, source, doc_id, seed)
-    # equal rows (same id and text) are interchangeable: their copies add up
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("_h").alias("_ph"), F.col("source").alias("_ps")).agg(F.sum("n_copies").alias("_c"), F.max("_k").alias("_n"))
-    d = docs.withColumn("_dh", F.xxhash64(F.col(text)))
-    j = d.join(plan, (d[doc_id].eqNullSafe(F.col("_id"))) & (F.col("_dh") == F.col("_ph")) & d[source].eqNullSafe(F.col("_ps")), "left")
-    if plan.where("_n > 1").limit(1).count():
-        j = j.withColumn("_r", F.expr(f"row_number() over (partition by `{doc_id}`, _dh, `{source}` order by _c)"))
-        j = j.withColumn("_c", F.expr("_c div _n + if(_r <= _c % _n, 1, 0)"))
-    j = j.where("_c > 0").withColumn("_e", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c"))))
-    return j.select(*docs.columns)
+    # equal rows (same id, source and text) are interchangeable: their copies add up
+    plan = plan.groupBy("doc_id", "source", "_h").agg(F.sum("n_copies").alias("c"), F.max("_k").alias("n"))
+    d = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("d"), F.col(source).alias("s"), F.xxhash64(F.col(text)).alias("h"))
+    j = d.join(plan, F.expr("d <=> doc_id and s <=> source and h = _h"))
+    if plan.where("n > 1").limit(1).count():
+        j = j.withColumn("r", F.expr("row_number() over (partition by d, s, h order by c)"))
+        j = j.withColumn("c", F.expr("c div n + if(r <= c % n, 1, 0)"))
+    return j.where("c > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c")))).select("row.*")
