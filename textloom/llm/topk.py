@@ -4,10 +4,10 @@ Components are quantized to integers, so scores are exact. Vectors are dealt int
 has its list of vectors, sorted by component. A query walks all its dimensions' lists at once, from the end that its
 own component's sign makes best, scores what it meets by random access, and stops when the bound (the
 score that a vector at the current depth in every list would have) is below its k-th best score; at an equal bound it goes on, since a smaller id may still tie.
-Depth grows geometrically; once a query has met more than half of a block, the rest of it is one sweep.
+Depth doubles, and the bound is tested at every depth; there is no other way out but that every vector has been met.
 
-Queries are dealt into blocks as well, and every block of queries meets every block of vectors in a task of its own:
-nothing is broadcast, a task's memory is bounded by the two block sizes, and the partial
+A block of vectors is one group: its lists are sorted once, and all queries stream past them in Arrow batches. Nothing is
+broadcast, a task's memory is bounded by one block of vectors and one batch of queries, a query is sent once for each block, a vector once. The partial
 results (k for each query and block of vectors) are merged by query.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part, as queries or candidates; an
@@ -18,6 +18,8 @@ extra columns are ignored; fewer candidates than k give fewer rows; an empty tab
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 
 K = 5
 SCALE = 256
-VECTOR_BLOCK, QUERY_BLOCK = 16384, 2048
+VECTOR_BLOCK = 16384
+#: Depth of the first test of the bound.
+START = 16
 
 
 def quantize(embedding: Column, scale: int = SCALE) -> Column:
@@ -34,92 +38,110 @@ def quantize(embedding: Column, scale: int = SCALE) -> Column:
     return F.when(embedding.isNotNull() & good, F.transform(embedding, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")))
 
 
-def _matrix(col: pa.ChunkedArray, dims: int) -> np.ndarray:
-    """Rows of a list column, padded with zeros to ``dims``."""
-    flat = col.combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    sizes = np.diff(flat.offsets.to_numpy())
-    values = flat.values.slice(flat.offsets[0].as_py(), int(sizes.sum())).to_numpy(zero_copy_only=False)
+def _matrix(col: pa.Array, dims: int) -> np.ndarray:
+    """Rows of a list column, padded with zeros, or cut, to ``dims``."""
+    sizes = np.diff(col.offsets.to_numpy())
+    values = col.values.slice(col.offsets[0].as_py(), int(sizes.sum())).to_numpy(zero_copy_only=False)
     if (sizes == dims).all():
         return values.reshape(len(sizes), dims)
     out = np.zeros((len(sizes), dims), np.int64)
     at = 0
     for i, n in enumerate(sizes):
-        out[i, :n] = values[at : at + n]
+        out[i, : min(n, dims)] = values[at : at + min(n, dims)]
         at += n
     return out
 
 
-def threshold_search(q: np.ndarray, own: int, v: np.ndarray, ids: np.ndarray, order: np.ndarray, ranked: np.ndarray, k: int = K) -> list[tuple[int, int]]:
-    """The k best (score, id) of one query over a block.
-
-    ``order[d]`` has the rows of ``v`` by rising component d, ``ranked[d]`` those components; ``ids`` rises.
-    """
-    n = len(ids)
-    up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-    seen = ids == own
-    left = n - int(seen.sum())
-    best_s, best_r = np.empty(0, v.dtype), np.empty(0, np.int64)
-    depth, start = 0, 16
-    while left:
-        to = min(n, max(start, depth * 4))
-        if len(up) + len(down) == 0 or 2 * left < n or to == n:
-            rows = np.flatnonzero(~seen)
-        else:
+class Block:
+    """The sorted lists of a block of vectors; ``met`` and ``stopped`` count vectors scored and searches that the bound ended."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        o = np.argsort(ids, kind="stable")
+        self.ids, self.v = ids[o], vectors[o]
+        self.most = float(np.abs(self.v).max(initial=0))
+        self.f = self.v.astype(np.float64)  # products of doubles are fast, and exact below 2**53
+        #: ``order[d]``: the rows by rising component d; ``ranked[d]``: those components.
+        self.order = np.ascontiguousarray(np.argsort(self.v, axis=0, kind="stable").T)
+        self.ranked = np.take_along_axis(self.v.T, self.order, axis=1)
+        self.met = self.stopped = 0
+
+    def search(self, q: np.ndarray, own: int, k: int = K) -> list[tuple[int, int]]:
+        """The k best (score, id) of one query, best first, ties by id."""
+        n, v = len(self.ids), self.f if len(q) * self.most * float(np.abs(q).max(initial=0)) < 2**53 else self.v
+        q = q.astype(v.dtype)
+        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+        seen = self.ids == own
+        left = n - int(seen.sum())
+        best_s, best_r = np.empty(0, v.dtype), np.empty(0, np.int64)
+        depth = 0
+        while left:
+            to = min(n, max(START, depth * 2))
             met = np.zeros(n, bool)
-            met[order[up, n - to : n - depth].ravel()] = True
-            met[order[down, depth:to].ravel()] = True
+            met[self.order[up, n - to : n - depth].ravel()] = True
+            met[self.order[down, depth:to].ravel()] = True
+            if to == n:  # the lists' ends; a query of zeros has no list
+                met[:] = True
             rows = np.flatnonzero(met & ~seen)
-        seen[rows] = True
-        left -= len(rows)
-        s = v[rows] @ q
-        if len(best_s) == k:
-            good = s >= best_s[-1]
-            s, rows = s[good], rows[good]
-        elif len(s) > 4 * k:
-            good = s >= np.partition(s, len(s) - k)[len(s) - k]
-            s, rows = s[good], rows[good]
-        s, rows = np.concatenate([best_s, s]), np.concatenate([best_r, rows])
-        top = np.lexsort((rows, -s))[:k]
-        best_s, best_r = s[top], rows[top]
-        depth = to
-        if left and len(best_s) == k and q[up] @ ranked[up, n - depth] + q[down] @ ranked[down, depth - 1] < best_s[-1]:
-            break
-    return [(int(s), int(ids[r])) for s, r in zip(best_s, best_r, strict=True)]
-
-
-def _search_block(vectors: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    out: tuple[list, list, list] = ([], [], [])
-    if vectors.num_rows and queries.num_rows:
-        vectors, queries = vectors.sort_by("vec_id"), queries.sort_by("vec_id")
-        lengths = [max((len(x) for x in t["q"]), default=0) for t in (vectors, queries)]
-        dims = max(lengths)
-        v, q = _matrix(vectors["q"], dims), _matrix(queries["q"], dims)
-        # scores below 2**53 are exact in double precision, where products are fast
-        exact = dims * float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) < 2**53
-        v, q = (v.astype(np.float64), q.astype(np.float64)) if exact else (v, q)
-        order = np.ascontiguousarray(np.argsort(v, axis=0, kind="stable").T)
-        ranked = np.take_along_axis(v.T, order, axis=1)
-        ids, own = vectors["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-        for i in range(len(own)):
-            for s, r in threshold_search(q[i], own[i], v, ids, order, ranked, k):
-                for column, x in zip(out, (own[i], r, s), strict=True):
-                    column.append(x)
-    return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
-
-
-def search(vectors: DataFrame, is_query: Column, k: int = K, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+            seen[rows] = True
+            left -= len(rows)
+            self.met += len(rows)
+            s = v[rows] @ q
+            if len(best_s) == k:
+                good = s >= best_s[-1]
+                s, rows = s[good], rows[good]
+            elif len(s) > 4 * k:
+                good = s >= np.partition(s, len(s) - k)[len(s) - k]
+                s, rows = s[good], rows[good]
+            s, rows = np.concatenate([best_s, s]), np.concatenate([best_r, rows])
+            top = np.lexsort((rows, -s))[:k]
+            best_s, best_r, depth = s[top], rows[top], to
+            if left and len(best_s) == k and q[up] @ self.ranked[up, n - depth] + q[down] @ self.ranked[down, depth - 1] < best_s[-1]:
+                self.stopped += 1
+                break
+        return [(int(s), int(self.ids[r])) for s, r in zip(best_s, best_r, strict=True)]
+
+
+def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (b, kind, vec_id, q), sorted so that a block's vectors (kind 0) come before its queries (kind 1)."""
+    now, kept, block = None, [], None
+    for b in batches:
+        at, kinds = b.column("b").to_numpy(), b.column("kind").to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(at) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), len(at)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if x == y:
+                continue
+            part = b.slice(x, y - x)
+            if at[x] != now:
+                now, kept, block = at[x], [], None
+            if kinds[x] == 0:
+                kept.append(part)
+                continue
+            if not kept:
+                continue
+            if block is None:
+                dims = max(int(np.diff(p.column("q").offsets.to_numpy()).max()) for p in kept)
+                block = Block(np.concatenate([p.column("vec_id").to_numpy() for p in kept]), np.concatenate([_matrix(p.column("q"), dims) for p in kept]))
+            out: tuple[list, list, list] = ([], [], [])
+            own = part.column("vec_id").to_pylist()
+            for i, q in zip(own, _matrix(part.column("q"), block.v.shape[1]), strict=True):
+                for s, r in block.search(q, i, k):
+                    for column, value in zip(out, (i, r, s), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = K, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best of all rows for each row where ``is_query`` holds.
 
     ``vectors`` has ``vec_id`` and ``embedding``.
     """
     v = vectors.select("vec_id", quantize(F.col("embedding")).alias("q")).where("q is not null and vec_id is not null")
     q = v.where(is_query).groupBy("vec_id").agg(F.min("q").alias("q"))
-    nv, nq = (d.count() for d in (vectors.select("vec_id"), vectors.select("vec_id").where(is_query)))
-    bv, bq = max(1, -(-nv // vector_block)), max(1, -(-nq // query_block))
-    # a task of its own for each pair of blocks; repeated ids are dealt by their row as well
-    v = v.withColumn("b", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(bv)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
-    q = q.withColumn("a", F.pmod(F.xxhash64("vec_id"), F.lit(bq)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(bv - 1))))
-    parts = v.groupBy("a", "b").cogroup(q.groupBy("a", "b")).applyInArrow(lambda x, y: _search_block(x, y, k), "query_id long, vec_id long, score long")
+    blocks = max(1, -(-vectors.select("vec_id").count() // vector_block))
+    # repeated ids are dealt by their row as well
+    v = v.select(F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("b"), F.lit(0).alias("kind"), "vec_id", "q")
+    q = q.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(1).alias("kind"), "vec_id", "q")
+    rows = v.unionByName(q).repartition(4 * blocks, "b").sortWithinPartitions("b", "kind")
+    parts = rows.mapInArrow(lambda x: _search(x, k), "query_id long, vec_id long, score long")
     best = parts.withColumn("rank", F.expr("cast(row_number() over (partition by query_id order by score desc, vec_id) as int)"))
     return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
