@@ -2,14 +2,17 @@
 
 Base kinds are ``assign``, ``access`` and ``hex`` (see the patterns); the method adds spans of
 further kinds whose form alone marks a credential. Every candidate's value is hashed, and over the
-whole corpus each hash gets its numbers of distinct owners, repositories and documents. A value that many owners
-carry is a widely copied example; one that few carry and that looks random is live.
+whole corpus each hash gets its numbers of distinct owners, repositories and documents. A value that far more owners or repositories
+carry than values usually do is a widely copied example; one that few carry and that looks random is live. What counts as far more
+follows the corpus: more than ``COMMON`` of all distinct values have, and ``LEAST_OWNERS`` at least (:func:`wide_from`). A value that one
+owner repeats in many documents stays that owner's.
 
-Only DataFrame functions run here. Owners are counted in two steps (distinct pairs, then counts), so a value that a
-third of all rows hold is reduced before it is shuffled.
+Only DataFrame functions run here. Documents are counted by value, repository and owner first, so a value that a
+third of all rows hold is reduced before it is shuffled. Values of one owner, the most by far, need no join back at all: only
+the others are looked up, by broadcast while they are few (``FEW_WIDE``, checked), else by a join that Spark can split.
 
-Defined results: a null text counts as empty; repeated rows are scanned one by one and count as one
-document of their owner; a null source is an owner like any other; extra columns are passed through; an empty
+Defined results: a null text counts as empty; repeated rows are scanned one by one and count as several
+documents of one owner; a null source is an owner like any other; extra columns, whatever their names, are passed through (``spans`` as ``spans_input``); an empty
 table gives an empty result. Offsets are code points, ends exclusive.
 """
 
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut
+from textloom.llm.common import carried, cut, unpacked
 
 #: kind -> (pattern, group that holds the value, least characters of the value). Fixed values.
 BASE = {
@@ -32,8 +35,10 @@ MORE = {
     "jwt": (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
     "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
 }
-#: A value that so many owners carry is an example.
-EXAMPLE_OWNERS = 5
+#: An example has more owners (or repositories) than this share of all distinct values, and so many at least.
+COMMON, LEAST_OWNERS = 0.99, 3
+#: Values of several owners that may be broadcast; beyond that they are joined.
+FEW_WIDE = 200_000
 #: A live value has so many different characters at least.
 LIVE_DISTINCT = 6
 
@@ -71,13 +76,26 @@ def _value_hash(v: Column) -> Column:
     return F.substring(F.sha2(v.cast("binary"), 256), 1, 32)
 
 
-def scan(docs: DataFrame, text: str = "text", repository: str = "source", owner: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """Columns of ``docs`` without the text, plus ``spans`` with each value's hash, owners and verdict.
+def frequencies(candidates: DataFrame) -> DataFrame:
+    """``hash, owners, repositories, documents`` of rows (hash, repo, owner), one for each document that holds the value."""
+    held = candidates.groupBy("hash", "repo", "owner").agg(F.count(F.lit(1)).alias("documents"))
+    return held.groupBy("hash").agg(F.countDistinct(F.struct("owner")).alias("owners"), F.countDistinct(F.struct("repo")).alias("repositories"), F.sum("documents").alias("documents"))
 
-    ``spans`` is an array of (kind, start, end, hash, owners, verdict); verdict is ``example``,
-    ``live`` or ``weak``.
+
+def wide_from(owned: DataFrame) -> int:
+    """The owners (or repositories) from which a value is an example."""
+    usual = owned.agg(F.percentile(F.greatest("owners", "repositories"), COMMON)).first()[0]
+    return max(LEAST_OWNERS, int(usual or 0) + 1)
+
+
+def scan(docs: DataFrame, text: str = "text", repository: str = "source", owner: str = "source", example_owners: int | None = None) -> DataFrame:
+    """Columns of ``docs`` without the text, plus ``spans`` with each value's hash, frequencies and verdict.
+
+    ``spans`` is an array of (kind, start, end, hash, owners, repositories, documents, verdict); verdict is ``example``,
+    ``live`` or ``weak``. ``example_owners`` is :func:`wide_from`'s by default.
     """
-    found = spans(docs, text).withColumn("_row", F.monotonically_increasing_id())
+    names = carried(docs, "spans", without=(text,))
+    packed = docs.select(F.struct(*([F.col(f"`{c}`") for c in names] or [F.lit(0).alias("none")])).alias("row"), F.col(text).alias("text"), F.col(repository).alias("repo"), F.col(owner).alias("owner"))
     hashed = F.transform(
         "spans",
         lambda s: F.struct(
@@ -85,16 +103,22 @@ def scan(docs: DataFrame, text: str = "text", repository: str = "source", owner:
             (F.size(F.array_distinct(F.split(s["value"], ""))) >= LIVE_DISTINCT).alias("random"),
         ),
     )
-    found = cut(found.withColumn("spans", hashed).drop(text), "secret-spans")
-    each = found.where(F.size("spans") > 0).select("_row", F.col(repository).alias("_repo"), F.col(owner).alias("_owner"), F.posexplode("spans").alias("_pos", "s"))
-    pairs = each.select(F.col("s.hash").alias("hash"), "_repo", "_owner").distinct()
-    owned = pairs.groupBy("hash").agg(F.countDistinct(F.struct("_owner")).alias("owners"), F.countDistinct(F.struct("_repo")).alias("repositories"))
-    verdict = F.when(F.greatest("owners", "repositories") >= example_owners, "example").when(F.col("s.random"), "live").otherwise("weak")
-    judged = each.join(owned, F.col("s.hash") == owned["hash"]).select("_row", F.struct("_pos", F.col("s.kind").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), owned["hash"].alias("hash"), "owners", verdict.alias("verdict")).alias("j"))
-    back = judged.groupBy(F.col("_row").alias("_back")).agg(F.array_sort(F.collect_list("j")).alias("_judged"))
-    out = found.join(back, F.col("_row") == F.col("_back"), "left")
-    plain = F.transform(F.coalesce("_judged", F.expr("cast(array() as array<struct<_pos:int,kind:string,start:int,end:int,hash:string,owners:bigint,verdict:string>>)")), lambda j: j.dropFields("_pos"))
-    return out.withColumn("spans", plain).drop("_row", "_back", "_judged")
+    found = cut(spans(packed).select("row", "repo", "owner", hashed.alias("spans"), F.monotonically_increasing_id().alias("n")), "secret-spans")
+    some = found.where(F.size("spans") > 0)
+    held = some.select("repo", "owner", F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"))
+    owned = cut(frequencies(held), "secret-owners")
+    least = wide_from(owned) if example_owners is None else example_owners
+    # what isn't listed has one document
+    wide = owned.where("owners > 1 or repositories > 1 or documents > 1").withColumnRenamed("hash", "h")
+    wide = F.broadcast(wide) if wide.count() <= FEW_WIDE else wide
+    each = some.select("n", F.posexplode("spans").alias("pos", "s")).join(wide, F.expr("s.hash = h"), "left")
+    one = lambda c: F.coalesce(c, F.lit(1).cast("long")).alias(c)
+    verdict = F.when(F.greatest("owners", "repositories") >= least, "example").when(F.col("s.random"), "live").otherwise("weak")
+    judged = each.select("n", F.struct("pos", "s.kind", "s.start", "s.end", "s.hash", one("owners"), one("repositories"), one("documents"), verdict.alias("verdict")).alias("j"))
+    back = judged.groupBy(F.col("n").alias("m")).agg(F.array_sort(F.collect_list("j")).alias("judged"))
+    empty = F.expr("cast(array() as array<struct<pos:int,kind:string,start:int,end:int,hash:string,owners:bigint,repositories:bigint,documents:bigint,verdict:string>>)")
+    plain = F.transform(F.coalesce("judged", empty), lambda j: j.dropFields("pos"))
+    return found.join(back, F.expr("n = m"), "left").select(*unpacked(names), plain.alias("spans"))
 
 
 def _listed(array: str) -> Column:
@@ -110,21 +134,21 @@ def digest(scanned: DataFrame, doc_id: str = "doc_id") -> DataFrame:
         F.sha2(_listed("_base").cast("binary"), 256).alias("base_sha256"), _listed("spans").alias("spans"),
         F.size(F.filter("spans", lambda s: s["verdict"] == "live")).cast("long").alias("n_live"),
         F.size(F.filter("spans", lambda s: s["verdict"] == "example")).cast("long").alias("n_examples"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["documents"])), F.lit(0).cast("long")).alias("most_documents"),
     )
 
 
 def redact(docs: DataFrame, text: str = "text", repository: str = "source", owner: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with each span that is not an example replaced by ``[kind]``; other texts are untouched.
 
-    Overlapping spans become one. Rows are matched to their scan by id and by the text's hash.
+    Overlapping spans become one. Rows are matched to their scan by id, owner and the text's hash. Columns may have any name.
     """
-    hashed = docs.select(doc_id, text, *dict.fromkeys([repository, owner]), F.xxhash64(text).alias("_sh"))
-    found = scan(hashed, text, repository, owner).where(F.exists("spans", lambda s: s["verdict"] != "example"))
-    found = found.groupBy(F.col(doc_id).alias("_si"), F.col("_sh")).agg(F.first(F.filter("spans", lambda s: s["verdict"] != "example")).alias("_spans"))
-    d = docs.withColumn("_dh", F.xxhash64(text))
-    j = d.join(found, d[doc_id].eqNullSafe(F.col("_si")) & (F.col("_dh") == F.col("_sh")), "left")
-    walk = f"""aggregate(_spans, struct(0 as at, '' as out),
+    key = {"d": F.col(doc_id), "h": F.xxhash64(text), "r": F.col(repository), "o": F.col(owner)}
+    found = scan(docs.select(F.col(text).alias("text"), *(c.alias(k) for k, c in key.items())), "text", "r", "o").where(F.exists("spans", lambda s: s["verdict"] != "example"))
+    found = found.groupBy(*(F.col(k).alias(f"{k}_") for k in key)).agg(F.first(F.filter("spans", lambda s: s["verdict"] != "example")).alias("found"))
+    j = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), *(c.alias(k) for k, c in key.items())).join(found, F.expr(" and ".join(f"{k} <=> {k}_" for k in key)), "left")
+    walk = """aggregate(found, struct(0 as at, '' as out),
         (a, s) -> if(s.end <= a.at, a, if(s.start < a.at, struct(s.end as at, a.out as out),
-          struct(s.end as at, concat(a.out, substring(`{text}`, a.at + 1, s.start - a.at), '[', s.kind, ']') as out))))"""
-    j = j.withColumn("_w", F.expr(walk)).withColumn("_new", F.expr(f"if(_spans is null, `{text}`, concat(_w.out, substring(`{text}`, _w.at + 1)))"))
-    return j.select(*[F.col("_new").alias(c) if c == text else F.col(c) for c in docs.columns])
+          struct(s.end as at, concat(a.out, substring(text, a.at + 1, s.start - a.at), '[', s.kind, ']') as out))))"""
+    j = j.withColumn("w", F.expr(walk)).withColumn("new", F.expr("if(found is null, text, concat(w.out, substring(text, w.at + 1)))"))
+    return j.select(*(F.col("new").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns))
