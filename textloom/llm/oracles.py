@@ -33,7 +33,7 @@ _RULES = r"""10 * n_symbols > n_words
   OR word_chars < 2 * n_words OR word_chars > 14 * n_words
   OR 2 * length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) > length(regexp_replace(t, '[^\p{L}]+', '', 'g'))
   OR 5 * length(regexp_replace(t, '[^!?]+', '', 'g')) > n_words
-  OR (50 * len(list_distinct(w)) < n_words AND n_words < 20000)"""
+  OR len(list_distinct(w)) * len(list_distinct(w)) < n_words"""
 
 QUALITY = rf"""
 WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, {_SPLIT.format("text")} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
