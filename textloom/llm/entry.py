@@ -12,6 +12,10 @@ from textloom.llm.common import read
 from textloom.llm.oracles import ORACLES
 
 
+#: The registered query's key; whoever runs the operator brings their own.
+PII_KEY = "registered query"
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file lies; the operators take the path as a parameter."""
     import public_tokenizers
@@ -56,7 +60,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pii.pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = pii.pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
     return done.select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), F.array_join(F.transform("pii", lambda p: F.concat_ws(":", p["kind"], p["start"].cast("string"), p["end"].cast("string"))), ",").alias("spans"))
 
 

@@ -9,7 +9,7 @@ hash of the address.
 Only DataFrame functions run here, and no row needs another one: no shuffle.
 
 Defined results: a null text stays null and holds nothing; an empty one stays empty; repeated rows get equal results;
-extra columns are passed through; an empty table gives an empty result. What fails its check (a number
+extra columns, whatever their names, are passed through (``pii`` as ``pii_input``); an empty table gives an empty result. What fails its check (a number
 that is no card, an octet above 255, 30 February) is left alone.
 """
 
@@ -18,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import carried
+
 ROUNDS = 6
-#: The key is a parameter of every function; this one is for tests and the registered query.
-KEY = "textloom-demo-key"
 
 _NO = r"(?<![0-9A-Za-z])"
 #: kind -> pattern, in the order in which overlapping matches win. Fixed values.
@@ -54,7 +54,7 @@ def feistel(digits: str, key: str, tag: str) -> str:
     modulo its power of ten, then they change places.
     """
     # state: a, b strings; a round makes (b, a + F(b)) with a's own length kept
-    add = f"lpad(cast(pmod(cast(s.a as decimal(20,0)) + cast(conv(substring(sha2(concat('{key}|{tag}|', cast(r as string), '|', s.b), 256), 1, 15), 16, 10) as decimal(20,0)), cast(rpad('1', length(s.a) + 1, '0') as decimal(20,0))) as string), length(s.a), '0')"
+    add = f"lpad(cast(pmod(cast(s.a as decimal(20,0)) + cast(conv(substring(sha2(concat({_q(key + '|' + tag + '|')}, cast(r as string), '|', s.b), 256), 1, 15), 16, 10) as decimal(20,0)), cast(rpad('1', length(s.a) + 1, '0') as decimal(20,0))) as string), length(s.a), '0')"
     return f"""aggregate(sequence(1, {ROUNDS}), struct(substring({digits}, 1, length({digits}) div 2) as a, substring({digits}, length({digits}) div 2 + 1) as b),
       (s, r) -> struct(s.b as a, {add} as b), s -> concat(s.a, s.b))"""
 
@@ -62,7 +62,7 @@ def feistel(digits: str, key: str, tag: str) -> str:
 def unfeistel(digits: str, key: str, tag: str) -> str:
     """SQL: the inverse of :func:`feistel`."""
     # s = (a, b) after a round that began with (x, y): a = y, b = x + F(y)
-    sub = f"lpad(cast(pmod(cast(s.b as decimal(20,0)) - cast(conv(substring(sha2(concat('{key}|{tag}|', cast(r as string), '|', s.a), 256), 1, 15), 16, 10) as decimal(20,0)), cast(rpad('1', length(s.b) + 1, '0') as decimal(20,0))) as string), length(s.b), '0')"
+    sub = f"lpad(cast(pmod(cast(s.b as decimal(20,0)) - cast(conv(substring(sha2(concat({_q(key + '|' + tag + '|')}, cast(r as string), '|', s.a), 256), 1, 15), 16, 10) as decimal(20,0)), cast(rpad('1', length(s.b) + 1, '0') as decimal(20,0))) as string), length(s.b), '0')"
     return f"""aggregate(reverse(sequence(1, {ROUNDS})), struct(substring({digits}, 1, length({digits}) div 2) as a, substring({digits}, length({digits}) div 2 + 1) as b),
       (s, r) -> struct({sub} as a, s.a as b), s -> concat(s.a, s.b))"""
 
@@ -90,13 +90,13 @@ def kind_of(m: str) -> str:
     return f"case{branches} end"
 
 
-def pseudonym(m: str, kind: str, key: str = KEY) -> str:
+def pseudonym(m: str, kind: str, key: str) -> str:
     """SQL: the pseudonym of a checked match ``m`` of kind ``kind`` (both SQL expressions)."""
     digits = f"regexp_replace({m}, '[^0-9]', '')"
-    email = f"concat('u', substring(sha2(concat('{key}|email|', lower({m})), 256), 1, 12), '@example.invalid')"
+    email = f"concat('u', substring(sha2(concat({_q(key + '|email|')}, lower({m})), 256), 1, 12), '@example.invalid')"
     # an address keeps a form of four octets: the 32 bits are permuted as two halves of 16
     octets = f"transform(split({m}, '\\\\.'), o -> bigint(o))"
-    f16 = f"cast(conv(substring(sha2(concat('{key}|ip|', string(r), '|', string(s.b)), 256), 1, 4), 16, 10) as bigint)"
+    f16 = f"cast(conv(substring(sha2(concat({_q(key + '|ip|')}, string(r), '|', string(s.b)), 256), 1, 4), 16, 10) as bigint)"
     ip = _let(octets, "o", f"aggregate(sequence(1, {ROUNDS}), struct(o[0] * 256 + o[1] as a, o[2] * 256 + o[3] as b), (s, r) -> struct(s.b as a, (s.a ^ {f16}) as b), s -> concat_ws('.', s.a div 256, s.a % 256, s.b div 256, s.b % 256))")
     # a date stays within 1900-01-01 .. 2099-12-31: cycle-walk five digits until they fall in it
     days = f"lpad(string(datediff(to_date({m}, 'yyyy-MM-dd'), date'1900-01-01')), 5, '0')"
@@ -125,27 +125,28 @@ def cards(text: str) -> str:
     return _let(f"filter(array_distinct(concat({found})), {valid})", "l", f"array_distinct(concat(l, filter({longest}, g -> {_let('g', 'c', valid[5:])} and not exists(l, x -> contains(g, left(x, 12))))))")
 
 
-def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with PII in ``text`` replaced, plus ``pii``: an array of (kind, start, end, pseudonym).
 
-    Offsets are code points of the old text, ends exclusive.
+    ``key`` is the owner's secret; there is no default. Offsets are code points of the old text, ends exclusive.
     """
     any_, bare = _q(ANY), _q(_any())
-    col = f"`{text}`"
+    names = carried(docs, "pii")
     # Texts without a match are not cut up. Of the others, matches and gaps are walked from the left. In place of the cards' pattern
     # stand a text's own valid cards, so that a number which is no card takes nothing that follows it along.
-    d = docs.withColumn("_c", F.expr(f"if({col} rlike {_q('[0-9](?:[ -]?[0-9]){12}')}, {cards(col)}, cast(array() as array<string>))"))
+    d = docs.select(F.struct("*").alias("row"), F.col(text).alias("t"))
+    d = d.withColumn("c", F.expr(f"if(t rlike {_q('[0-9](?:[ -]?[0-9]){12}')}, {cards('t')}, cast(array() as array<string>))"))
     before, after = (_q(x) for x in _any("\0").split("\0"))
-    own = f"concat({before}, array_join(_c, '|'), {after})"
-    by = lambda f: f"if(size(_c) = 0, {f.format(bare)}, {f.format(own)})"
-    d = d.withColumn("_m", F.expr(f"if({col} rlike {any_}, {by(f'regexp_extract_all({col}, {{}}, 0)')}, null)"))
-    d = d.withColumn("_g", F.expr(f"if(_m is null, null, {by(f'split({col}, {{}}, -1)')})"))
-    hit = f"transform(_m, m -> {_let(kind_of('m'), 'k', 'struct(m as old, k as kind, if(k is null, m, ' + pseudonym('m', 'k', key) + ') as new)')})"
-    d = d.withColumn("_h", F.expr(f"if(_m is null, null, {hit})"))
-    d = d.withColumn("_new", F.expr(f"if(_h is null, {col}, concat(array_join(transform(_h, (h, i) -> concat(get(_g, i), h.new)), ''), get(_g, size(_h))))"))
+    own = f"concat({before}, array_join(c, '|'), {after})"
+    by = lambda f: f"if(size(c) = 0, {f.format(bare)}, {f.format(own)})"
+    d = d.withColumn("m", F.expr(f"if(t rlike {any_}, {by('regexp_extract_all(t, {}, 0)')}, null)"))
+    d = d.withColumn("g", F.expr(f"if(m is null, null, {by('split(t, {}, -1)')})"))
+    hit = f"transform(m, v -> {_let(kind_of('v'), 'k', 'struct(v as old, k as kind, if(k is null, v, ' + pseudonym('v', 'k', key) + ') as new)')})"
+    d = d.withColumn("h", F.expr(f"if(m is null, null, {hit})"))
+    d = d.withColumn("new", F.expr("if(h is null, t, concat(array_join(transform(h, (x, i) -> concat(get(g, i), x.new)), ''), get(g, size(h))))"))
     empty = "cast(array() as array<struct<kind:string,start:int,end:int,pseudonym:string>>)"
-    walk = f"""aggregate(arrays_zip(slice(_g, 1, size(_h)), _h), struct(0 as at, {empty} as out),
-      (a, z) -> struct(a.at + length(z['0']) + length(z['_h'].old) as at,
-        if(z['_h'].kind is null, a.out, array_append(a.out, struct(z['_h'].kind as kind, a.at + length(z['0']) as start, a.at + length(z['0']) + length(z['_h'].old) as end, z['_h'].new as pseudonym))) as out)).out"""
-    d = d.withColumn("pii", F.expr(f"if(_h is null, {empty}, {walk})"))
-    return d.select(*[F.col("_new").alias(c) if c == text else F.col(c) for c in docs.columns], "pii")
+    walk = f"""aggregate(arrays_zip(slice(g, 1, size(h)), h), struct(0 as at, {empty} as out),
+      (a, z) -> struct(a.at + length(z['0']) + length(z['h'].old) as at,
+        if(z['h'].kind is null, a.out, array_append(a.out, struct(z['h'].kind as kind, a.at + length(z['0']) as start, a.at + length(z['0']) + length(z['h'].old) as end, z['h'].new as pseudonym))) as out)).out"""
+    d = d.withColumn("found", F.expr(f"if(h is null, {empty}, {walk})"))
+    return d.select(*(F.col("new").alias(c) if c == text else F.col(f"row.`{c}`").alias(n) for c, n in names.items()), F.col("found").alias("pii"))

@@ -10,7 +10,7 @@ sample's labels are therefore safe to broadcast, and only the sample's feature l
 is then scored in one pass without a shuffle.
 
 Defined results: a null text counts as empty and gets the score of a document without tokens;
-repeated rows are scored one by one; rows with a null doc_id are held in, never fitted on; labels that are null
+repeated rows are scored one by one, and fitted on once (by the smallest text); rows with a null doc_id are held in, never fitted on; labels that are null
 or not 0/1 are ignored; without both classes among the labels every score is the share of label 1 (0.5
 without any); extra columns are ignored; an empty table gives an empty result. Texts are read whole.
 """
@@ -130,7 +130,8 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
     chosen = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(sample_rows)  # the bound that makes the broadcast safe
-    found = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "_text", "_label")
+    found = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("_text")).join(F.broadcast(chosen), "doc_id")
+    found = found.groupBy("doc_id", "_label").agg(F.min("_text").alias("_text")).select("doc_id", "_text", "_label")  # a repeated id counts once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo()

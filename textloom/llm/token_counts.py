@@ -8,8 +8,8 @@ over the edges) are remembered, in a dictionary of bounded size, so the same str
 
 Strings of added special tokens inside texts count as the library counts them by default: one token each.
 
-Defined results: null counts as empty, 0 tokens; repeated rows are counted one by one; extra columns are
-ignored by the query and passed through by :func:`count_tokens`; an empty table gives an empty result; a text
+Defined results: null counts as empty, 0 tokens; repeated rows are counted one by one; extra columns, whatever their names, are
+passed through by :func:`count_tokens` (those named like a result as ``<name>_input``); an empty table gives an empty result; a text
 of any length is counted whole, in memory proportional to that one text.
 """
 
@@ -17,11 +17,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.llm.common import carried
+
 #: Unicode White_Space, as the tokenizer's pattern sees it. A fixed value.
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: The pre-tokenizer's pattern with white space spelt out. A fixed value.
@@ -33,12 +37,12 @@ MEMO_ENTRIES, MEMO_CHARS = 400_000, 48
 OVER = 512
 
 
-def whole_tokens(path: str) -> frozenset[str]:
+def whole_tokens(model: bytes) -> frozenset[str]:
     """Vocabulary strings that are one pre-token and encode alone as one token, proved by encoding them."""
     import regex
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
+    tok = Tokenizer.from_buffer(model)
     pattern = regex.compile(PATTERN)
     special = {t.content for t in tok.get_added_tokens_decoder().values()}
     strings = {tok.decode([i], skip_special_tokens=False) for i in range(tok.get_vocab_size())}
@@ -50,11 +54,11 @@ def whole_tokens(path: str) -> frozenset[str]:
 class Counter:
     """Counts the tokens of texts; one for each Python worker."""
 
-    def __init__(self, path: str, whole: frozenset[str]) -> None:
+    def __init__(self, model: bytes, whole: frozenset[str]) -> None:
         import regex
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
+        self.tok = Tokenizer.from_buffer(model)
         self.whole = whole
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
@@ -100,18 +104,20 @@ _BYTES = _byte_alphabet()
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", over: int = OVER) -> DataFrame:
     """Columns of ``docs`` without ``text``, plus ``n_bytes``, ``n_tokens``, ``over_limit``."""
-    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
-    rest = [c for c in docs.columns if c != text]
-    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
+    model = Path(path).read_bytes()  # of fixed size; executors need not see the driver's files
+    shared = docs.sparkSession.sparkContext.broadcast((model, whole_tokens(model)))
+    names = carried(docs, "n_bytes", "n_tokens", "over_limit", without=(text,))
+    fields = {f.name: f for f in docs.schema}
+    schema = T.StructType([T.StructField(new, fields[old].dataType) for old, new in names.items()] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path, whole.value)
+        counter = Counter(*shared.value)
         for b in batches:
             sizes, counts = [], []
-            for t in b.column(text):
+            for t in b.column(len(names)):
                 s = t.as_py() or ""
                 sizes.append(len(s.encode()))
                 counts.append(counter.count(s))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > over for c in counts], pa.bool_())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > over for c in counts], pa.bool_())], names=schema.names)
 
-    return docs.select(*rest, text).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(text).alias("text")).mapInArrow(run, schema)
