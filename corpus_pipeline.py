@@ -18,7 +18,7 @@ from textloom.shipping import ship
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     ship(spark)
-    judged = quality_rules.judge(docs.withColumn("_row", F.struct(*docs.columns)).select("_row", F.col("text")))
+    judged = quality_rules.judge(docs.select(F.struct("*").alias("_row"), "text"))
     # the verdict is cut from the measures by the filter's own column, not pushed into them
     return judged.select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")).select("_row.*")
 
