@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 SEP = "\n\n"
@@ -17,6 +18,7 @@ class Block:
     end: int | None = None
     items: list[str] = field(default_factory=list)  # texts of a list's items
     attrs: dict[str, str] = field(default_factory=dict)
+    children: list[Block] = field(default_factory=list)  # of quotes, lists and list items
 
 
 @dataclass
@@ -55,6 +57,19 @@ class Outline:
     def block(self, block: Block) -> None:
         self._open[-1].blocks.append(block)
 
+    def retitle(self, change: Callable[[str], str]) -> None:
+        """Change every section's title, and the paths with it."""
+        todo = list(self.root.children)
+        for s in todo:
+            s.title = change(s.title)
+        todo = [(s, ()) for s in todo]
+        while todo:
+            s, above = todo.pop()
+            s.path = (*above, (s.level, s.title))
+            for c in s.children:
+                c.title = change(c.title)
+                todo.append((c, s.path))
+
     def first_h1(self) -> str | None:
         return next((s.title for s in self.root.children if s.level == 1 and s.title), None)
 

@@ -6,7 +6,7 @@ expressions; parsing and splitting are one Arrow pass over rows. No step shuffle
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from textloom.functions import headings as H
 from textloom.functions import text as X
 from textloom.functions.tokens import approx_tokens, tokenizer
+from textloom.model import Tree
 from textloom.operators import docx, html, markdown
 from textloom.operators.splitting import render, splitter
 from textloom.options import SplitOptions
@@ -28,10 +29,17 @@ _DRAFT = f"struct<body:string,headings:array<{_HEADING}>,own:{_HEADING},kind:str
 PARSED = f"title string, metadata map<string,string>, references map<string,struct<destination:string,title:string>>, drafts array<{_DRAFT}>, error string"
 SECTION = f"struct<id:int,parent:int,level:int,title:string,path:array<{_HEADING}>,index:int,start:int>"
 BLOCK = "struct<section:int,ord:int,kind:string,text:string,start:int,end:int,items:array<string>,attrs:map<string,string>>"
-TREE = f"title string, metadata map<string,string>, references map<string,struct<destination:string,title:string>>, sections array<{SECTION}>, blocks array<{BLOCK}>, error string"
+CHILD = "struct<section:int,ord:int,path:array<int>,kind:string,text:string,start:int,end:int>"
+TREE = f"title string, metadata map<string,string>, references map<string,struct<destination:string,title:string>>, sections array<{SECTION}>, blocks array<{BLOCK}>, children array<{CHILD}>, error string"
 
 
-def parse(fmt: str, text: str | None, content: bytes | None, title: str | None, metadata: dict | None):
+#: (text or bytes, title, metadata) -> tree.
+DocumentParser = Callable[[object, str | None, dict[str, str]], Tree]
+
+
+def parse(fmt: str, text: str | None, content: bytes | None, title: str | None, metadata: dict | None, config: markdown.MarkdownConfig | None = None, parsers: Mapping[str, DocumentParser] | None = None) -> Tree:
+    if parsers and fmt in parsers:
+        return parsers[fmt](content if text is None else text, title, metadata or {})
     if fmt == "docx":
         if content is None:
             raise TypeError("a word document must be bytes")
@@ -41,20 +49,32 @@ def parse(fmt: str, text: str | None, content: bytes | None, title: str | None,
             text = (content or b"").decode()
         except UnicodeDecodeError as e:
             raise ValueError("Non-DOCX bytes must contain valid UTF-8") from e
-    return (html if fmt == "html" else markdown).parse(text, title, metadata)
+    return html.parse(text, title, metadata) if fmt == "html" else markdown.parse(text, title, metadata, config or markdown.MarkdownConfig())
 
 
 def _pairs(m: dict[str, str]) -> list[tuple[str, str]]:
     return [(str(k), str(v)) for k, v in m.items()]
 
 
+#: Names of the columns that an engine adds.
+RESULTS = frozenset(
+    "title references drafts error sections blocks children chunk_id chunk_type body token_count estimated_token_count headings_token_count body_token_count ancestor_headings own_heading section_level document_path start_line end_line _n _d _h _b _s".split()
+)
+
+
 @dataclass(frozen=True)
 class ChunkEngine:
     """Splits a DataFrame of documents.
 
     Input columns (all optional but one of ``text`` and ``content``): ``text`` string, ``content`` binary,
     ``format``, ``source_path``, ``document_title``, ``metadata`` (map of overrides). All others are passed through.
+    An input column with the name of a result's comes back as ``<name>_input``.
     ``on_error``: ``fail`` raises at the first bad document, ``keep`` gives it a row with ``error``.
+    ``markdown``: rules and block kinds of Markdown. ``parsers``: parsers of one's own by format, instead of the engine's.
+    ``splitter``: (options, tokenizer) -> an object whose ``split(root)`` gives drafts and whose ``total(draft)`` counts them.
+
+    Defined results: an empty text has no chunks where empty ones are skipped; repeated rows are split one by one; an empty table
+    gives an empty result; a document is split whole, in memory proportional to it.
     """
 
     options: SplitOptions = field(default_factory=SplitOptions)
@@ -62,11 +82,16 @@ class ChunkEngine:
     normalize: Callable[[Column], Column] = X.normalize
     transform: Callable[[Column], Column] = X.transform
     on_error: str = "fail"
+    markdown: markdown.MarkdownConfig = field(default_factory=markdown.MarkdownConfig)
+    parsers: Mapping[str, DocumentParser] = field(default_factory=dict)
+    splitter: Callable = splitter
 
     def __post_init__(self) -> None:
         tokenizer(*self.tokenizer)  # unknown names and missing packages show on the driver
         if self.on_error not in ("fail", "keep"):
             raise ValueError("on_error must be fail or keep")
+        if unknown := set(self.parsers) - {"markdown", "html", "docx"}:
+            raise ValueError(f"parsers for unknown formats: {', '.join(sorted(unknown))}")
 
     def prepare(self, docs: DataFrame) -> DataFrame:
         """``docs`` with all input columns, the format detected."""
@@ -76,6 +101,12 @@ class ChunkEngine:
             if name not in docs.columns:
                 d = d.withColumn(name, F.lit(None).cast(kind))
         content = F.col("content") if "content" in docs.columns else None
+        for c in docs.columns:  # an input column of a result's name stays, under another one
+            if c.lower() in RESULTS and c not in types:
+                new = f"{c}_input"
+                while new.lower() in {x.lower() for x in d.columns}:
+                    new += "_input"
+                d = d.withColumnRenamed(c, new)
         return d.withColumn("format", X.detect(F.col("text"), F.col("source_path"), F.col("format"), content))
 
     def _map(self, docs: DataFrame, schema: str, row: Callable) -> DataFrame:
@@ -106,31 +137,42 @@ class ChunkEngine:
         return docs.mapInArrow(run, out)
 
     def trees(self, docs: DataFrame) -> DataFrame:
-        """One row per document: title, metadata, references, ``sections`` and ``blocks`` as arrays."""
+        """One row per document: title, metadata, references, ``sections`` and ``blocks`` as arrays.
+
+        ``children`` has the blocks inside quotes, lists and blocks of one's own: of which section's which block, and the path of places below it.
+        """
+        config, parsers = self.markdown, dict(self.parsers)
 
         def row(fmt, text, content, title, metadata):
-            t = parse(fmt, text, content, title, dict(metadata or {}))
-            sections, blocks = [], []
+            t = parse(fmt, text, content, title, dict(metadata or {}), config, parsers)
+            sections, blocks, children = [], [], []
+
+            def inside(section: int, top: int, b, place: tuple[int, ...]) -> None:
+                for i, c in enumerate(b.children):
+                    children.append({"section": section, "ord": top, "path": [*place, i], "kind": c.kind, "text": c.text, "start": c.start, "end": c.end})
+                    inside(section, top, c, (*place, i))
 
             def walk(s, parent: int, index: int) -> None:
                 me = len(sections)
                 sections.append({"id": me, "parent": parent, "level": s.level, "title": s.title, "path": [{"level": a, "title": b} for a, b in s.path], "index": index, "start": s.start})
                 blocks.extend({"section": me, "ord": i, "kind": b.kind, "text": b.text, "start": b.start, "end": b.end, "items": b.items, "attrs": _pairs(b.attrs)} for i, b in enumerate(s.blocks))
+                for i, b in enumerate(s.blocks):
+                    inside(me, i, b, ())
                 for i, c in enumerate(s.children):
                     walk(c, me, i)
 
             walk(t.root, -1, 0)
-            return t.title, _pairs(t.metadata), [(k, {"destination": d, "title": x}) for k, (d, x) in t.references.items()], sections, blocks
+            return t.title, _pairs(t.metadata), [(k, {"destination": d, "title": x}) for k, (d, x) in t.references.items()], sections, blocks, children
 
         return self._map(self.prepare(docs), TREE, row)
 
     def drafts(self, docs: DataFrame) -> DataFrame:
         """One row per document with its drafts, before finishing."""
-        options, name = self.options, self.tokenizer
+        options, name, config, parsers, make = self.options, self.tokenizer, self.markdown, dict(self.parsers), self.splitter
 
         def row(fmt, text, content, title, metadata):
-            t = parse(fmt, text, content, title, dict(metadata or {}))
-            s = splitter(options, tokenizer(*name))
+            t = parse(fmt, text, content, title, dict(metadata or {}), config, parsers)
+            s = make(options, tokenizer(*name))
             path = lambda p: [{"level": a, "title": b} for a, b in p]
             out = [
                 {
