@@ -59,3 +59,15 @@ def test_clashing_columns(spark, tmp_path):
         out.write.parquet(str(tmp_path / name))
         values = [v for v in spark.read.parquet(str(tmp_path / name)).first() if isinstance(v, str)]
         assert all(f"own {n}" in values for n in names)
+
+
+@pytest.mark.parametrize(
+    ("markup", "text"),
+    [
+        ("a<br>b<br/>c", "a\nb\n\nc"), ("<p class='x>y'>a &amp; b</P><i>c</i>", "\na & b\nc"), ("x<!-- <p> -->y<!DOCTYPE z>", "xy"), ("<script>a < b && '<p>' &lt;</script>!", "a < b && '<p>' &lt;!"), ("1 < 2 &copy; &unknown;", "1 < 2 © &unknown;"), ("", ""),
+    ],
+)
+def test_text_of_markup(markup, text):
+    from textloom.functions.text import html_text
+
+    assert html_text(markup) == text

@@ -5,6 +5,8 @@ Counting is closed-form there (bytes div 3), so a fold needs running byte sums o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,13 +57,21 @@ def protected(text: Column, limit: int) -> Column:
 
 def hard(text: Column, limit: int) -> Column:
     """Longest prefixes within the limit, one character at least, stripped: characters packed without a gap."""
-    return F.filter(F.transform(pack(F.split(text, "", -1), limit, ""), _strip), lambda p: p != "")
+    return F.filter(F.transform(_let(F.split(text, "", -1), lambda c: pack(c, limit, "")), _strip), lambda p: p != "")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _level(limit: int, join: str, rest: Column) -> Callable[[Column], Column]:
+    return lambda p: F.when(fits(p, limit), pack(p, limit, join)).otherwise(rest)
 
 
 def pieces(text: Column, limit: int) -> Column:
-    """Pieces of a text by the first level whose parts all fit; hard cuts where none does."""
-    out = F.when((F.floor(F.octet_length(text) / 3) <= limit) | protected(text, limit), F.array(text))
-    for level, (_, join) in LEVELS.items():
-        p = parts(text, level)
-        out = out.when(fits(p, limit), pack(p, limit, join))
-    return out.otherwise(hard(text, limit))
+    """Pieces of a text by the first level whose parts all fit; hard cuts where none does. A level is cut only where those before it fail."""
+    out = hard(text, limit)
+    for level, (_, join) in reversed(LEVELS.items()):
+        out = _let(parts(text, level), _level(limit, join, out))
+    return F.when((F.floor(F.octet_length(text) / 3) <= limit) | protected(text, limit), F.array(text)).otherwise(out)

@@ -68,15 +68,19 @@ def from_mapping(raw: Mapping[str, Mapping[str, object]] | None) -> list[BlockOp
 
 
 def from_json(raw: str | None) -> list[BlockOption] | None:
-    if not raw or not raw.strip():
-        return None
+    """Options from a JSON object of objects by kind; nothing from nothing."""
+    text = (raw or "").strip()
+    return from_mapping(_object(text)) if text else None
+
+
+def _object(text: str) -> Mapping:
     try:
-        parsed = json.loads(raw)
-    except json.JSONDecodeError as e:
-        raise ValueError("block options are not valid JSON") from e
-    if not isinstance(parsed, Mapping):
-        raise TypeError("block options must be a JSON object")
-    return from_mapping(parsed)
+        found = json.loads(text)
+    except ValueError:
+        raise ValueError("block options are not valid JSON") from None
+    if isinstance(found, Mapping):
+        return found
+    raise TypeError("block options must be a JSON object")
 
 
 def from_short(entries: Iterable[str], raw_json: str = "", kinds: Iterable[str] = BLOCK_KINDS) -> list[BlockOption]:
