@@ -173,7 +173,7 @@ def test_sibling_query_takes_every_conversation(spark, tmp_path):
     turns = [("a", [10, 10]), ("b", [400] * 6), ("c", [10, 5000, 10]), ("d", [3000])]  # fits whole; packs; one turn above every limit; nothing else
     rows = [(c, i, "user", (word * n).strip()) for c, t in turns for i, n in enumerate(t)]
     spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {r.conv_id: (r.n_chunks, r.n_turns) for r in queries.chunk_conversations_sibling_all(spark, str(tmp_path)).collect()}
+    got = {r.conv_id: (r.n_chunks, r.n_turns) for r in queries.chunk_conversations_sibling(spark, str(tmp_path)).collect()}
     # 960 tokens hold one turn of 400 words, or 570 words below the headings: 9 pieces of the turn of 5000, 6 of the one of 3000
     assert got == {"a": (1, 2), "b": (6, 6), "c": (1 + 9 + 1, 3), "d": (6, 1)}
 

@@ -10,6 +10,16 @@ Heading = tuple[int, str]
 Path = tuple[Heading, ...]
 
 
+@dataclass
+class Inline:
+    """A piece of running text: a kind, and either text or children."""
+
+    kind: str
+    text: str = ""
+    children: list[Inline] = field(default_factory=list)
+    attrs: dict[str, str] = field(default_factory=dict)
+
+
 @dataclass
 class Block:
     kind: str
@@ -19,6 +29,7 @@ class Block:
     items: list[str] = field(default_factory=list)  # texts of a list's items
     attrs: dict[str, str] = field(default_factory=dict)
     children: list[Block] = field(default_factory=list)  # of quotes, lists and list items
+    inlines: list[Inline] = field(default_factory=list)
 
 
 @dataclass
@@ -29,6 +40,8 @@ class Section:
     start: int | None = None
     blocks: list[Block] = field(default_factory=list)
     children: list[Section] = field(default_factory=list)
+    inlines: list[Inline] = field(default_factory=list)  # of the title
+    source: str = ""  # the title as written
 
 
 @dataclass
@@ -46,11 +59,11 @@ class Outline:
         self.root = Section(0, "")
         self._open = [self.root]
 
-    def heading(self, level: int, title: str, line: int | None) -> None:
+    def heading(self, level: int, title: str, line: int | None, inlines: list[Inline] | None = None) -> None:
         while len(self._open) > 1 and self._open[-1].level >= level:
             self._open.pop()
         parent = self._open[-1]
-        section = Section(level, title, (*parent.path, (level, title)), line)
+        section = Section(level, title, (*parent.path, (level, title)), line, inlines=inlines or [], source=title)
         parent.children.append(section)
         self._open.append(section)
 

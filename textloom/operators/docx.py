@@ -7,7 +7,7 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
-from textloom.model import Block, Outline, Tree
+from textloom.model import Block, Inline, Outline, Tree
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 #: Paragraph styles and fonts with a meaning.
@@ -48,6 +48,33 @@ def _is_code(p) -> bool:
     return bool(runs) and all(f is not None and f.get(f"{W}ascii") in MONOSPACE for f in fonts)
 
 
+def _on(properties, name: str) -> bool:
+    x = properties.find(f"{W}{name}") if properties is not None else None
+    return x is not None and x.get(f"{W}val", "true") not in ("0", "false", "off", "none")
+
+
+def _inlines(p) -> list[Inline]:
+    """A node for each run with text, by its own font."""
+    out = []
+    for r in p.findall(f"{W}r"):
+        text, look = _text(r), r.find(f"{W}rPr")
+        font = look.find(f"{W}rFonts") if look is not None else None
+        bold, italic = _on(look, "b"), _on(look, "i")
+        if not text:
+            continue
+        if bold:
+            out.append(Inline("strong", children=[Inline("emphasis" if italic else "text", text)]))
+        elif italic:
+            out.append(Inline("emphasis", text))
+        elif _on(look, "u"):
+            out.append(Inline("text", text, attrs={"underline": "true"}))
+        elif font is not None and font.get(f"{W}ascii") in MONOSPACE:
+            out.append(Inline("code_span", text, attrs={"literal": text}))
+        else:
+            out.append(Inline("text", text))
+    return out
+
+
 def _table(t) -> str:
     rows = []
     for tr in t.findall(f"{W}tr"):
@@ -90,20 +117,20 @@ def parse(content: bytes, title: str | None = None, metadata: dict[str, str] | N
             if text:
                 n += 1
                 level = int(m[1]) if m[1].strip().isdigit() else 1
-                out.heading(max(1, level), text, n)
+                out.heading(max(1, level), text, n, _inlines(e))
         elif name in BULLETS or name in NUMBERS:
             n += 2  # a list and its item each count
             mark = "1." if name in NUMBERS else "-"
-            out.block(Block("list", f"{mark} {text}", n, n, [text], {"ordered": str(name in NUMBERS).lower()}))
+            out.block(Block("list", f"{mark} {text}", n, n, [text], {"ordered": str(name in NUMBERS).lower()}, inlines=_inlines(e)))
         elif name in QUOTES:
             n += 1
-            out.block(Block("blockquote", f"> {text}" if text else "", n, n))
+            out.block(Block("blockquote", f"> {text}" if text else "", n, n, inlines=_inlines(e)))
         elif _is_code(e):
             n += 1
             out.block(Block("code_block", f"```\n{raw}\n```", n, n, attrs={"literal": raw}))
         elif text:
             n += 1
-            out.block(Block("paragraph", text, n, n))
+            out.block(Block("paragraph", text, n, n, inlines=_inlines(e)))
     own = meta.get("title", "").strip()
     found = title if title is not None else own or out.first_h1() or "Anonymous"
     out.root.title = found

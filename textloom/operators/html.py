@@ -5,11 +5,12 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 from textloom.functions.text import clean
-from textloom.model import Block, Outline, Tree
+from textloom.model import Block, Inline, Outline, Tree
 
 #: The tags that matter.
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
 BLOCKS = {"p": "paragraph", "pre": "code_block", "blockquote": "blockquote"}
+INLINES = {"strong": "strong", "b": "strong", "em": "emphasis", "i": "emphasis", "code": "code_span", "a": "link"}
 
 
 class _Open:
@@ -17,10 +18,14 @@ class _Open:
 
     def __init__(self, kind: str, line: int) -> None:
         self.kind, self.line, self.parts = kind, line, []
+        self.kinds: list[str] = []  # of the parts
 
     def text(self) -> str:
         return clean("".join(self.parts))
 
+    def inlines(self) -> list[Inline]:
+        return [Inline(k, t) for k, t in zip(self.kinds, self.parts, strict=True)]
+
 
 class _Builder(HTMLParser):
     def __init__(self, source: str, metadata: dict[str, str]) -> None:
@@ -34,6 +39,7 @@ class _Builder(HTMLParser):
         self.body = False
         self.heading = self.block = self.item = None
         self.lists: list[tuple[bool, int, list[str]]] = []
+        self.within: list[str] = []  # kinds of the inline tags that are open
         self.table = (0, 0)
 
     @property
@@ -70,7 +76,9 @@ class _Builder(HTMLParser):
         elif tag == "br":
             self.add("\n")
         elif tag == "img":
-            self.add({k.lower(): v or "" for k, v in attrs}.get("alt", ""))
+            self.add({k.lower(): v or "" for k, v in attrs}.get("alt", ""), "image")
+        elif tag in INLINES:
+            self.within.append(INLINES[tag])
 
     def _about(self, tag: str, attrs: dict[str, str]) -> None:
         if tag == "head":
@@ -104,7 +112,7 @@ class _Builder(HTMLParser):
                     self.close_table()
         elif self.heading is not None and tag == self.heading.kind:
             if title := self.heading.text():
-                self.out.heading(HEADINGS[tag], title, self.heading.line)
+                self.out.heading(HEADINGS[tag], title, self.heading.line, self.heading.inlines())
             self.heading = None
         elif self.block is not None and tag in BLOCKS:
             self.close_block()
@@ -117,6 +125,8 @@ class _Builder(HTMLParser):
             if items:
                 mark = "1." if ordered else "-"
                 self.out.block(Block("list", "\n".join(f"{mark} {i}" for i in items), line, self.line, list(items), {"ordered": str(ordered).lower()}))
+        elif tag in INLINES and self.within:
+            self.within.pop()
 
     def handle_data(self, data: str) -> None:
         if self.title is not None:
@@ -124,7 +134,7 @@ class _Builder(HTMLParser):
         elif not (self.head or self.hidden or self.depth):
             self.add(data)
 
-    def add(self, text: str) -> None:
+    def add(self, text: str, kind: str | None = None) -> None:
         if not text:
             return
         target = self.heading or self.item or self.block
@@ -132,6 +142,7 @@ class _Builder(HTMLParser):
             target = self.block = _Open("paragraph", self.line)
         if target is not None:
             target.parts.append(text)
+            target.kinds.append(kind or (self.within[-1] if self.within else "text"))
 
     def close_block(self) -> None:
         done, self.block = self.block, None
@@ -143,7 +154,7 @@ class _Builder(HTMLParser):
         elif done.kind == "code_block":
             attrs["literal"] = "".join(done.parts).strip("\n")
             text = f"```\n{attrs['literal']}\n```"
-        self.out.block(Block(done.kind, text, done.line, self.line, attrs=attrs))
+        self.out.block(Block(done.kind, text, done.line, self.line, attrs=attrs, inlines=done.inlines()))
 
     def close_table(self) -> None:
         end = self.source.find(">", self.place()) + 1 or len(self.source)

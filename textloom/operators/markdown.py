@@ -1,6 +1,6 @@
 """Markdown to a tree of sections: CommonMark blocks, pipe tables, math blocks and front matter.
 
-Parsed are block kinds and line ranges, children of quotes and lists, headings' inline
+Parsed are block kinds and line ranges, children of quotes and lists, titles' inline
 text, references and metadata. By default setext headings are off, as an underlined line is one paragraph. Time is
 proportional to a text's length (times ``DEEPEST`` at most, for containers in containers).
 
@@ -16,6 +16,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from textloom.model import Block, Outline, Tree
+from textloom.operators import inlines
 
 HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?[ \t]*$")
 CLOSING = re.compile(r"(?:^|[ \t]+)#+[ \t]*$")
@@ -402,44 +403,29 @@ class Parser:
 
     # inline text of headings
 
+    def targets(self) -> inlines.Targets:
+        if len(self._folded) < len(self.references):
+            self._folded = {inlines.fold_label(k): v for k, v in self.references.items()}
+        return self._folded
+
     def inline(self, text: str) -> str:
         """Canonical Markdown of inline text: escapes and entities resolved, emphasis by asterisks, links inline."""
-        if len(self._folded) < len(self.references):
-            self._folded = {" ".join(k.split()).casefold(): v for k, v in self.references.items()}
-        refs = self._folded
-        kept: list[str] = []
-
-        def keep(s: str) -> str:
-            kept.append(s)
-            return f"\0{len(kept) - 1}\0"
-
-        def link(m: re.Match) -> str:
-            bang, label, dest, ref = m[1] or "", m[2], m[3], m[4]
-            if dest is None:
-                found = refs.get(" ".join((ref or label).split()).casefold())
-                if found is None:
-                    return m[0]
-                target, title = found
-            else:
-                d = re.match(r"""\s*(<[^<>\n]*>|[^\s()]*(?:\([^\s()]*\)[^\s()]*)*)(?:\s+("[^"]*"|'[^']*'|\([^()]*\)))?\s*$""", dest)
-                if not d:
-                    return m[0]
-                target, title = d[1].strip("<>"), (d[2] or "  ")[1:-1].strip()
-            tail = f' "{title}"' if title else ""
-            return f"{bang}[{label}]" + keep(f"({target}{tail})")
-
-        s = re.sub(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", lambda m: keep("`" + (m[2][1:-1] if len(m[2]) > 2 and m[2][0] == m[2][-1] == " " and m[2].strip() else m[2]) + "`"), text)
-        s = re.sub(r"\\\((.+?)\\\)", lambda m: keep(f"${m[1]}$"), s)
-        s = re.sub(r"""\\([!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~])""", lambda m: keep(m[1]), s)
-        s = re.sub(r"(?<![\\$\w])\$(?=\S)([^$]+?)(?<=\S)\$(?!\w)", lambda m: keep(m[0]), s)
-        s = re.sub(r"<(?:[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.+-]+@[\w.-]+|/?[A-Za-z][^<>]*|!--.*?--)>", lambda m: keep(m[0]), s)
-        s = re.sub(r"(!)?\[((?:[^\[\]]|\[[^\[\]]*\])*)\](?:\(([^()]*(?:\([^()]*\)[^()]*)*)\)|\[([^\[\]]*)\])?", link, s)
-        s = re.sub(r"(?<!\w)__(?=\S)(.+?)(?<=\S)__(?!\w)", r"**\1**", s)
-        s = re.sub(r"(?<![\w_])_(?=[^\s_])(.+?)(?<=[^\s_])_(?![\w_])", r"*\1*", s)
-        s = re.sub(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", lambda m: htmllib.unescape(m[0]), s)
-        while "\0" in s:
-            s = re.sub(r"\0(\d+)\0", lambda m: kept[int(m[1])], s)
-        return s.strip()
+        return inlines.render(inlines.parse(text, self.targets())).strip()
+
+
+def add_inlines(tree: Tree) -> None:
+    """Nodes of all titles and paragraphs, also those in quotes and lists."""
+    targets = {inlines.fold_label(k): v for k, v in tree.references.items()}
+    sections = [tree.root]
+    for s in sections:
+        s.inlines = inlines.parse(s.source, targets)
+        sections += s.children
+        blocks = list(s.blocks)
+        for b in blocks:
+            if b.kind == "paragraph" and not b.inlines:
+                text = re.sub(r"(?m)^(?: {0,3}>)+", "", b.text) if b.text.startswith(">") else b.text
+                b.inlines = inlines.parse("\n".join(x.lstrip() for x in text.split("\n")).strip(), targets)
+            blocks += b.children
 
 
 def _front_matter(lines: list[str]) -> tuple[int, dict | None]:

@@ -30,6 +30,7 @@ PARSED = f"title string, metadata map<string,string>, references map<string,stru
 SECTION = f"struct<id:int,parent:int,level:int,title:string,path:array<{_HEADING}>,index:int,start:int>"
 BLOCK = "struct<section:int,ord:int,kind:string,text:string,start:int,end:int,items:array<string>,attrs:map<string,string>>"
 CHILD = "struct<section:int,ord:int,path:array<int>,kind:string,text:string,start:int,end:int>"
+INLINE = "struct<section:int,ord:int,path:array<int>,kind:string,text:string,attrs:map<string,string>>"
 TREE = f"title string, metadata map<string,string>, references map<string,struct<destination:string,title:string>>, sections array<{SECTION}>, blocks array<{BLOCK}>, children array<{CHILD}>, error string"
 
 
@@ -58,7 +59,7 @@ def _pairs(m: dict[str, str]) -> list[tuple[str, str]]:
 
 #: Names of the columns that an engine adds.
 RESULTS = frozenset(
-    "title references drafts error sections blocks children chunk_id chunk_type body token_count estimated_token_count headings_token_count body_token_count ancestor_headings own_heading section_level document_path start_line end_line _n _d _h _b _s".split()
+    "title references drafts error sections blocks children inlines chunk_id chunk_type body token_count estimated_token_count headings_token_count body_token_count ancestor_headings own_heading section_level document_path start_line end_line _n _d _h _b _s".split()
 )
 
 
@@ -136,35 +137,49 @@ class ChunkEngine:
 
         return docs.mapInArrow(run, out)
 
-    def trees(self, docs: DataFrame) -> DataFrame:
+    def trees(self, docs: DataFrame, inlines: bool = False) -> DataFrame:
         """One row per document: title, metadata, references, ``sections`` and ``blocks`` as arrays.
 
         ``children`` has the blocks inside quotes, lists and blocks of one's own: of which section's which block, and the path of places below it.
+        With ``inlines`` there is a column of that name too: the nodes of titles (``ord`` -1) and of blocks, parents first. A node's path is its
+        place below the block; in a block's children, the child's path and -1 come first.
         """
         config, parsers = self.markdown, dict(self.parsers)
 
         def row(fmt, text, content, title, metadata):
             t = parse(fmt, text, content, title, dict(metadata or {}), config, parsers)
-            sections, blocks, children = [], [], []
+            sections, blocks, children, nodes = [], [], [], []
+            if inlines and fmt == "markdown" and fmt not in parsers:
+                markdown.add_inlines(t)
+
+            def running(section: int, top: int, found: list, place: tuple[int, ...]) -> None:
+                todo = [(n, (*place, i)) for i, n in reversed(list(enumerate(found)))]
+                while todo:
+                    n, at = todo.pop()
+                    nodes.append({"section": section, "ord": top, "path": list(at), "kind": n.kind, "text": n.text, "attrs": _pairs(n.attrs)})
+                    todo += [(c, (*at, i)) for i, c in reversed(list(enumerate(n.children)))]
 
             def inside(section: int, top: int, b, place: tuple[int, ...]) -> None:
                 for i, c in enumerate(b.children):
                     children.append({"section": section, "ord": top, "path": [*place, i], "kind": c.kind, "text": c.text, "start": c.start, "end": c.end})
+                    running(section, top, c.inlines if inlines else [], (*place, i, -1))
                     inside(section, top, c, (*place, i))
 
             def walk(s, parent: int, index: int) -> None:
                 me = len(sections)
                 sections.append({"id": me, "parent": parent, "level": s.level, "title": s.title, "path": [{"level": a, "title": b} for a, b in s.path], "index": index, "start": s.start})
                 blocks.extend({"section": me, "ord": i, "kind": b.kind, "text": b.text, "start": b.start, "end": b.end, "items": b.items, "attrs": _pairs(b.attrs)} for i, b in enumerate(s.blocks))
+                running(me, -1, s.inlines if inlines else [], ())
                 for i, b in enumerate(s.blocks):
+                    running(me, i, b.inlines if inlines else [], ())
                     inside(me, i, b, ())
                 for i, c in enumerate(s.children):
                     walk(c, me, i)
 
             walk(t.root, -1, 0)
-            return t.title, _pairs(t.metadata), [(k, {"destination": d, "title": x}) for k, (d, x) in t.references.items()], sections, blocks, children
+            return t.title, _pairs(t.metadata), [(k, {"destination": d, "title": x}) for k, (d, x) in t.references.items()], sections, blocks, children, *([nodes] if inlines else [])
 
-        return self._map(self.prepare(docs), TREE, row)
+        return self._map(self.prepare(docs), TREE.replace(", error", f", inlines array<{INLINE}>, error") if inlines else TREE, row)
 
     def drafts(self, docs: DataFrame) -> DataFrame:
         """One row per document with its drafts, before finishing."""

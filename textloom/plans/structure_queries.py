@@ -235,3 +235,18 @@ def merged_tails_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer").select("c_custkey", F.expr("array_join(array_repeat('ab', int(c_custkey % 300 + 1)), ' ')").alias("text"), F.lit("markdown").alias("format"))
     n = lambda ratio: ChunkEngine(SplitOptions("section", max_tokens=40, ideal_ratio=0.5, merge_below_ratio=ratio)).split(c).groupBy("c_custkey")
     return n(0.0).agg(F.count(F.lit(1)).alias("plain")).join(n(0.5).agg(F.count(F.lit(1)).alias("merged")), "c_custkey")
+
+
+@query("""SELECT p_partkey, 'markdown' AS format, p_brand || ' [**' || p_type || '** `' || p_size || '`](/parts/' || p_partkey || ' "Part") *' || p_name || '*' AS title,
+  '-1:0:text:' || p_brand || ' |-1:1:link:|-1:1.0:strong:|-1:1.0.0:text:' || p_type || '|-1:1.1:text: |-1:1.2:code_span:' || p_size || '|-1:2:text: |-1:3:emphasis:|-1:3.0:text:' || p_name
+  || '|0:0:strong:|0:0.0:text:a |0:0.1:emphasis:|0:0.1.0:text:' || p_name || '|0:1:soft_break:' || chr(10) || '|0:2:math_inline:' || p_size || '_i|0:3:text: & *' AS nodes FROM part
+UNION ALL SELECT p_partkey, 'html', p_brand || ' ' || p_type, '-1:0:text:' || p_brand || ' |-1:1:strong:' || p_type || '|0:0:text:see |0:1:link:' || p_name || '|0:2:image:pic' FROM part""")
+def inline_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of titles and paragraphs made of parts: emphasis, links, code, math and breaks, nested; inline tags of HTML."""
+    p = read(spark, sf_dir, "part")
+    md = F.format_string("# %s [__%s__ `%d`](/parts/%d 'Part') _%s_\n\n**a *%s***\n$%d_i$ &amp; \\*", "p_brand", "p_type", "p_size", "p_partkey", "p_name", "p_name", "p_size")
+    html = F.format_string("<body><h1>%s <b>%s</b></h1><p>see <a href='/x'>%s</a><img alt=pic></p></body>", "p_brand", "p_type", "p_name")
+    made = F.explode(F.create_map(F.lit("markdown"), md, F.lit("html"), html)).alias("format", "text")
+    t = ChunkEngine().trees(p.select("p_partkey", made), inlines=True)
+    node = lambda n: F.concat_ws(":", n["ord"], F.array_join(n["path"].cast("array<string>"), "."), n["kind"], n["text"])
+    return t.select("p_partkey", "format", F.col("sections")[1]["title"].alias("title"), F.array_join(F.transform("inlines", node), "|").alias("nodes"))
