@@ -69,6 +69,15 @@ def test_errors_fail_or_stay(spark):
         ChunkEngine().split(d).collect()
 
 
+def test_bad_formats_and_bytes_stay_as_errors(spark):
+    d = spark.createDataFrame([(1, bytearray(b"x"), "pdf"), (2, bytearray(b"\xff\xfe"), None), (3, bytearray(b"\xff"), "markdown"), (4, bytearray(b"b"), None)], "id int, content binary, format string")
+    got = {r.id: (r.body, r.error) for r in ChunkEngine(on_error="keep").split(d).collect()}
+    assert got[4] == ("b", None) and [got[i][0] for i in (1, 2, 3)] == [None] * 3
+    assert "Unsupported input format: pdf" in got[1][1] and "non-DOCX binary input" in got[2][1] and "valid UTF-8" in got[3][1]
+    with pytest.raises(Exception, match="non-DOCX binary input"):
+        ChunkEngine().split(d.where("id = 2")).collect()
+
+
 def test_empty_documents_and_tables(spark):
     d = spark.createDataFrame([(1, ""), (2, None), (3, " \n "), (4, "x")], "id int, text string")
     assert [r.id for r in ChunkEngine().split(d).collect()] == [4]

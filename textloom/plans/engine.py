@@ -45,6 +45,10 @@ def parse(fmt: str, text: str | None, content: bytes | None, title: str | None,
         if content is None:
             raise TypeError("a word document must be bytes")
         return docx.parse(content, title, metadata)
+    if fmt == "binary":
+        raise ValueError("Unable to infer format from non-DOCX binary input")
+    if fmt not in ("markdown", "html"):
+        raise ValueError(f"Unsupported input format: {fmt}")
     if text is None:
         try:
             text = (content or b"").decode()
@@ -108,7 +112,7 @@ class ChunkEngine:
                 while new.lower() in {x.lower() for x in d.columns}:
                     new += "_input"
                 d = d.withColumnRenamed(c, new)
-        return d.withColumn("format", X.detect(F.col("text"), F.col("source_path"), F.col("format"), content))
+        return d.withColumn("format", X.detect(F.col("text"), F.col("source_path"), F.col("format"), content, strict=self.on_error == "fail"))
 
     def _map(self, docs: DataFrame, schema: str, row: Callable) -> DataFrame:
         ship(docs.sparkSession)
