@@ -70,17 +70,17 @@ class Outline:
     def block(self, block: Block) -> None:
         self._open[-1].blocks.append(block)
 
-    def retitle(self, change: Callable[[str], str]) -> None:
+    def retitle(self, change: Callable[[Section], str]) -> None:
         """Change every section's title, and the paths with it."""
         todo = list(self.root.children)
         for s in todo:
-            s.title = change(s.title)
+            s.title = change(s)
         todo = [(s, ()) for s in todo]
         while todo:
             s, above = todo.pop()
             s.path = (*above, (s.level, s.title))
             for c in s.children:
-                c.title = change(c.title)
+                c.title = change(c)
                 todo.append((c, s.path))
 
     def first_h1(self) -> str | None:

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,13 +39,13 @@ TREE = f"title string, metadata map<string,string>, references map<string,struct
 DocumentParser = Callable[[object, str | None, dict[str, str]], Tree]
 
 
-def parse(fmt: str, text: str | None, content: bytes | None, title: str | None, metadata: dict | None, config: markdown.MarkdownConfig | None = None, parsers: Mapping[str, DocumentParser] | None = None) -> Tree:
+def parse(fmt: str, text: str | None, content: bytes | None, title: str | None, metadata: dict | None, config: markdown.MarkdownConfig | None = None, parsers: Mapping[str, DocumentParser] | None = None, inlines: bool = False) -> Tree:
     if parsers and fmt in parsers:
         return parsers[fmt](content if text is None else text, title, metadata or {})
     if fmt == "docx":
         if content is None:
             raise TypeError("a word document must be bytes")
-        return docx.parse(content, title, metadata)
+        return docx.parse(content, title, metadata, inlines)
     if fmt == "binary":
         raise ValueError("Unable to infer format from non-DOCX binary input")
     if fmt not in ("markdown", "html"):
@@ -57,8 +58,25 @@ def parse(fmt: str, text: str | None, content: bytes | None, title: str | None,
     return html.parse(text, title, metadata) if fmt == "html" else markdown.parse(text, title, metadata, config or markdown.MarkdownConfig())
 
 
+#: In what parsers hand to Arrow, a struct is a tuple of its fields in order.
 def _pairs(m: dict[str, str]) -> list[tuple[str, str]]:
-    return [(str(k), str(v)) for k, v in m.items()]
+    return [(str(k), str(v)) for k, v in m.items()] if m else []
+
+
+#: What is parsed before its results are handed on: rows, and bytes of documents.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
+
+
+def _slices(batch: pa.RecordBatch, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of ``SLICE_ROWS`` rows at most, and ``SLICE_BYTES`` but for a row that is larger alone; an empty batch as it is."""
+    sizes = [sum(x) for x in zip(*(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_pylist() for c in columns), strict=True)]
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if i > start and (i - start >= SLICE_ROWS or held + n > SLICE_BYTES):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    yield batch.slice(start)
 
 
 #: Names of the columns that an engine adds.
@@ -127,7 +145,7 @@ class ChunkEngine:
         names = extra.names
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (part for whole in batches for part in _slices(whole, ("text", "content"))):
                 made = []
                 for values in zip(*(b.column(c).to_pylist() for c in inputs), strict=True):
                     try:
@@ -151,7 +169,7 @@ class ChunkEngine:
         config, parsers = self.markdown, dict(self.parsers)
 
         def row(fmt, text, content, title, metadata):
-            t = parse(fmt, text, content, title, dict(metadata or {}), config, parsers)
+            t = parse(fmt, text, content, title, dict(metadata or {}), config, parsers, inlines)
             sections, blocks, children, nodes = [], [], [], []
             if inlines and fmt == "markdown" and fmt not in parsers:
                 markdown.add_inlines(t)
@@ -160,19 +178,20 @@ class ChunkEngine:
                 todo = [(n, (*place, i)) for i, n in reversed(list(enumerate(found)))]
                 while todo:
                     n, at = todo.pop()
-                    nodes.append({"section": section, "ord": top, "path": list(at), "kind": n.kind, "text": n.text, "attrs": _pairs(n.attrs)})
-                    todo += [(c, (*at, i)) for i, c in reversed(list(enumerate(n.children)))]
+                    nodes.append((section, top, at, n.kind, n.text, _pairs(n.attrs)))
+                    if n.children:
+                        todo += [(c, (*at, i)) for i, c in reversed(list(enumerate(n.children)))]
 
             def inside(section: int, top: int, b, place: tuple[int, ...]) -> None:
                 for i, c in enumerate(b.children):
-                    children.append({"section": section, "ord": top, "path": [*place, i], "kind": c.kind, "text": c.text, "start": c.start, "end": c.end})
+                    children.append((section, top, (*place, i), c.kind, c.text, c.start, c.end))
                     running(section, top, c.inlines if inlines else [], (*place, i, -1))
                     inside(section, top, c, (*place, i))
 
             def walk(s, parent: int, index: int) -> None:
                 me = len(sections)
-                sections.append({"id": me, "parent": parent, "level": s.level, "title": s.title, "path": [{"level": a, "title": b} for a, b in s.path], "index": index, "start": s.start})
-                blocks.extend({"section": me, "ord": i, "kind": b.kind, "text": b.text, "start": b.start, "end": b.end, "items": b.items, "attrs": _pairs(b.attrs)} for i, b in enumerate(s.blocks))
+                sections.append((me, parent, s.level, s.title, s.path, index, s.start))
+                blocks.extend((me, i, b.kind, b.text, b.start, b.end, b.items, _pairs(b.attrs)) for i, b in enumerate(s.blocks))
                 running(me, -1, s.inlines if inlines else [], ())
                 for i, b in enumerate(s.blocks):
                     running(me, i, b.inlines if inlines else [], ())
@@ -181,7 +200,7 @@ class ChunkEngine:
                     walk(c, me, i)
 
             walk(t.root, -1, 0)
-            return t.title, _pairs(t.metadata), [(k, {"destination": d, "title": x}) for k, (d, x) in t.references.items()], sections, blocks, children, *([nodes] if inlines else [])
+            return t.title, _pairs(t.metadata), list(t.references.items()), sections, blocks, children, *([nodes] if inlines else [])
 
         return self._map(self.prepare(docs), TREE.replace(", error", f", inlines array<{INLINE}>, error") if inlines else TREE, row)
 
@@ -192,15 +211,14 @@ class ChunkEngine:
         def row(fmt, text, content, title, metadata):
             t = parse(fmt, text, content, title, dict(metadata or {}), config, parsers)
             s = make(options, tokenizer(*name))
-            path = lambda p: [{"level": a, "title": b} for a, b in p]
             out = [
-                {
-                    "body": render(d.entries, d.path), "headings": path(d.path), "own": {"level": d.own[0], "title": d.own[1]} if d.own else None, "kind": d.kind, "origin": d.origin, "estimate": s.total(d),
-                    "level": max((a for e in d.entries for a, _ in e.path), default=0), "start": min((e.start for e in d.entries if e.start is not None), default=None), "end": max((e.end for e in d.entries if e.end is not None), default=None),
-                }
+                (
+                    render(d.entries, d.path), d.path, d.own, d.kind, d.origin, s.total(d), max((a for e in d.entries for a, _ in e.path), default=0),
+                    min((e.start for e in d.entries if e.start is not None), default=None), max((e.end for e in d.entries if e.end is not None), default=None),
+                )
                 for d in s.split(t.root)
             ]
-            return t.title, _pairs(t.metadata), [(k, {"destination": d, "title": x}) for k, (d, x) in t.references.items()], out
+            return t.title, _pairs(t.metadata), list(t.references.items()), out
 
         return self._map(self.prepare(docs), PARSED, row)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.options import SplitOptions
 from textloom.plans.engine import ChunkEngine
-from textloom.plans.queries import _TURNS, conversations_markdown, query, read
+from textloom.plans.queries import _TURNS, conversations_markdown, query, read, spread
 
 
 def _sql(s: str) -> str:
@@ -243,7 +243,7 @@ def merged_tails_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT p_partkey, 'html', p_brand || ' ' || p_type, '-1:0:text:' || p_brand || ' |-1:1:strong:' || p_type || '|0:0:text:see |0:1:link:' || p_name || '|0:2:image:pic' FROM part""")
 def inline_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of titles and paragraphs made of parts: emphasis, links, code, math and breaks, nested; inline tags of HTML."""
-    p = read(spark, sf_dir, "part")
+    p = spread(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
     md = F.format_string("# %s [__%s__ `%d`](/parts/%d 'Part') _%s_\n\n**a *%s***\n$%d_i$ &amp; \\*", "p_brand", "p_type", "p_size", "p_partkey", "p_name", "p_name", "p_size")
     html = F.format_string("<body><h1>%s <b>%s</b></h1><p>see <a href='/x'>%s</a><img alt=pic></p></body>", "p_brand", "p_type", "p_name")
     made = F.explode(F.create_map(F.lit("markdown"), md, F.lit("html"), html)).alias("format", "text")
