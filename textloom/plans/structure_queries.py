@@ -29,7 +29,7 @@ def _rows(table: str, key: str, name: str, columns: str, rows: list[tuple]) -> s
 
 
 def _named(spark: SparkSession, sf_dir: str, table: str, key: str, name: str, text: str, fmt: str) -> DataFrame:
-    d = read(spark, sf_dir, table)
+    d = spread(read(spark, sf_dir, table).select(key, name))
     return d.select(key, F.replace(F.lit(text), F.lit("@"), F.col(name)).alias("text"), F.lit(fmt).alias("format"))
 
 
