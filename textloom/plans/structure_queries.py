@@ -188,7 +188,7 @@ def word_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([word_file(x) for x in b.column(1).to_pylist()], pa.binary())], names=["p_partkey", "content"])
 
-    return read(spark, sf_dir, "part").select("p_partkey", "p_brand").mapInArrow(run, "p_partkey long, content binary")
+    return spread(read(spark, sf_dir, "part").select("p_partkey", "p_brand")).mapInArrow(run, "p_partkey long, content binary")
 
 
 @query(_rows("part", "p_partkey", "p_brand", "section ord kind text start", WORD_BLOCKS))
