@@ -223,7 +223,7 @@ _TAILS = """SELECT c_custkey, w // 21 + CASE WHEN w % 21 > 0 THEN 1 ELSE 0 END A
 @query(_TAILS)
 def merged_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of chunks of texts of two-letter words, without and with merging of small tails."""
-    c = read(spark, sf_dir, "customer").select("c_custkey", F.expr("array_join(array_repeat('ab', int(c_custkey % 300 + 1)), ' ')").alias("text"), F.lit("markdown").alias("format"))
+    c = spread(read(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", F.expr("array_join(array_repeat('ab', int(c_custkey % 300 + 1)), ' ')").alias("text"), F.lit("markdown").alias("format"))
     n = lambda ratio, exact: ChunkEngine(SplitOptions("section", exact=exact, max_tokens=40, ideal_ratio=0.5, merge_below_ratio=ratio)).split(c).groupBy("c_custkey")
     return n(0.0, True).agg(F.count(F.lit(1)).alias("plain")).join(n(0.5, True).agg(F.count(F.lit(1)).alias("merged")), "c_custkey")
 
@@ -232,7 +232,7 @@ def merged_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_TAILS.replace("BETWEEN 1 AND 19", "BETWEEN 1 AND 20"))
 def merged_tails_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by incremental counting."""
-    c = read(spark, sf_dir, "customer").select("c_custkey", F.expr("array_join(array_repeat('ab', int(c_custkey % 300 + 1)), ' ')").alias("text"), F.lit("markdown").alias("format"))
+    c = spread(read(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", F.expr("array_join(array_repeat('ab', int(c_custkey % 300 + 1)), ' ')").alias("text"), F.lit("markdown").alias("format"))
     n = lambda ratio: ChunkEngine(SplitOptions("section", max_tokens=40, ideal_ratio=0.5, merge_below_ratio=ratio)).split(c).groupBy("c_custkey")
     return n(0.0).agg(F.count(F.lit(1)).alias("plain")).join(n(0.5).agg(F.count(F.lit(1)).alias("merged")), "c_custkey")
 
